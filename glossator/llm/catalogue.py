@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup
+from . import exact_dedup, language_id, simhash_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -25,3 +25,14 @@ def _query(name: str, sql: str | None = None):
 @_query("op1_exact_dedup", exact_dedup.EXACT_SQL)
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+@_query("op3_simhash_dedup")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_dedup.near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+@_query("op10_language_id")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return language_id.identified(docs, language_id.fit(docs)).drop("text_hash")
