@@ -1,4 +1,55 @@
-STAGES = []
+"""A training-data pipeline: each stage reads what its predecessor kept and decides on all of it."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from glossator.llm import exact_dedup, language_id, mixing, pieces, simhash_dedup
+from glossator.llm.common import written
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language the byte network knows; those that it rejects go."""
+    return language_id.keep_identified(docs, language_id.fit(docs))
+
+
+def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document for each text."""
+    return exact_dedup.drop_exact_duplicates(docs)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each SimHash group."""
+    return simhash_dedup.drop_near_duplicates(docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents repeated or left out so that sources meet their target shares of the tokens."""
+    return mixing.mixed(docs)
+
+
+def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Piece ids, the n best segmentations, and whether decoding gave back the text."""
+    return pieces.encoded(docs)
+
+
+STAGES = [
+    ("language_id", identify_language),
+    ("exact_dedup", drop_copies),
+    ("simhash_dedup", drop_near_copies),
+    ("source_mixing", mix_sources),
+    ("piece_encoding", encode_pieces),
+]
+
+#: SQL can express neither the network nor the piece lattice; the tests hold run() against brute force.
 ORACLE_SQL = None
-def run(spark, sf_dir):
-    raise NotImplementedError
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents; what each keeps is written, and read again by the next."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for place, (name, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if place < len(STAGES) - 1:
+            docs = written(docs, f"stage-{name}")
+    return docs

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, language_id, simhash_dedup
+from . import exact_dedup, language_id, mixing, pieces, simhash_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -36,3 +36,13 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return language_id.identified(docs, language_id.fit(docs)).drop("text_hash")
+
+
+@_query("op6_source_mixing")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.rates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+@_query("op7_piece_encoding")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encoded(spark.read.parquet(f"{sf_dir}/documents.parquet"))
