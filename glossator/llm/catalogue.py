@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, language_id, mixing, pieces, simhash_dedup
+from . import chat, exact_dedup, language_id, mixing, pieces, simhash_dedup, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -46,3 +46,13 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("op7_piece_encoding")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encoded(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+@_query("op4_token_counts")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+@_query("op5_chat_formatting", chat.CHAT_SQL)
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.flat_refs(chat.format_chats(chat.parts_of(spark.read.parquet(f"{sf_dir}/conversations.parquet"))))
