@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, exact_dedup, language_id, mixing, pieces, simhash_dedup, token_counts
+from . import ann, chat, exact_dedup, language_id, mixing, pieces, simhash_dedup, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -56,3 +56,8 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("op5_chat_formatting", chat.CHAT_SQL)
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.flat_refs(chat.format_chats(chat.parts_of(spark.read.parquet(f"{sf_dir}/conversations.parquet"))))
+
+
+@_query("op2_nearest_neighbours")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest_neighbours(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
