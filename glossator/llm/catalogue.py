@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, chat, exact_dedup, language_id, mixing, pieces, simhash_dedup, token_counts
+from . import ann, chat, exact_dedup, language_id, license_scan, mixing, pieces, simhash_dedup, token_counts, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -61,3 +61,13 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("op2_nearest_neighbours")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest_neighbours(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+@_query("op8_license_scan", license_scan.LICENSE_SQL)
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.license_blocks(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+@_query("op9_url_filter")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.filter_urls(url_filter.seeded(spark.read.parquet(f"{sf_dir}/pages.parquet")))
