@@ -40,7 +40,7 @@ TEMPLATES = {
 THRESHOLD = 0.9
 BLOCKS = r"\n"
 TOKENS = "[a-z0-9]+"
-#: Up to so many prefix tokens are compared as a literal; beyond, by a join. The result is the same.
+#: Up to so many prefix tokens are looked for in a block before it is sent on; beyond, the join alone does. The result is the same.
 LITERAL = 256
 #: Rows of a template table that is still broadcast.
 BROADCAST_ROWS = 200_000
@@ -109,10 +109,6 @@ def license_blocks(
     if len(rare) <= LITERAL:
         # Rare tokens decide at once; nothing of the other blocks is built or sent.
         held = held.filter(F.arrays_overlap("tok", F.array(*(F.lit(w) for w, k in sorted(rank.items()) if k in rare))))
-    else:
-        first = spark.createDataFrame([(k,) for k in sorted(rare)], "rank int").join(ranks, "rank").select("token")
-        some = held.select("rid", "block_no", F.explode_outer("tok").alias("token")).join(_small(first, len(prefixes)), "token", "left_semi")
-        held = held.join(some.select("rid", "block_no").distinct(), ["rid", "block_no"], "left_semi")
     flat = held.select("doc_id", "rid", "block_no", F.explode_outer("tok").alias("token")).join(ranks, "token")
     ordered = flat.groupBy("rid", "block_no").agg(F.first("doc_id", ignorenulls=True).alias("doc_id"), F.sort_array(F.collect_list("rank")).alias("ranks"))
     shared = ordered.select("*", F.posexplode("ranks").alias("j", "rank")).join(postings, "rank")
