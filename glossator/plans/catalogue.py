@@ -1,4 +1,4 @@
-"""Query registry: one entry for each analytic of the engine."""
+"""Registered queries: one for each analytic of the engine, over whole tables."""
 
 from __future__ import annotations
 
@@ -7,11 +7,199 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from glossator.functions import identity, safety
+from glossator.functions.text import char_grams, fingerprint, skeleton
+from glossator.operators import contamination, phrases, scoring, similarity, spans, values
+from glossator.schema import SPLITS
+
+from .oracles import ORACLES
+from .records import predictions, records
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+
+
+def _query(f: Callable) -> Callable:
+    QUERIES[f.__name__] = f
+    return f
+
+
+def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Copies of each normalised body, largest group first."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return docs.groupBy(F.md5("text").alias("fingerprint")).agg(F.count("*").alias("copies")).filter("copies > 1")
+    """Copies of each normalised body."""
+    return contamination.body_copies(_docs(spark, sf_dir))
+
+
+@_query
+def q01_split_counts(spark, sf_dir):
+    return values.split_counts(records(spark, sf_dir))
+
+
+@_query
+def q02_fingerprint_dups(spark, sf_dir):
+    return contamination.body_copies(_docs(spark, sf_dir))
+
+
+@_query
+def q03_near_dup_pairs(spark, sf_dir):
+    return similarity.near_pairs(_docs(spark, sf_dir), "doc_id", "text", 0.85).drop("g")
+
+
+@_query
+def q04_cross_split_contamination(spark, sf_dir):
+    rec = records(spark, sf_dir)
+    held = contamination.dimensions(rec)
+    found = [contamination.shared_by_splits(held[k], k) for k in ("value", "template")]
+    body = rec.select("split", F.md5(fingerprint("text").cast("binary")).alias("v"))
+    return found[0].unionByName(found[1]).unionByName(contamination.shared_by_splits(body, "body"))
+
+
+@_query
+def q05_intra_split_redundancy(spark, sf_dir):
+    rec = records(spark, sf_dir)
+    return contamination.redundancy(rec, similarity.near_pairs(rec, "doc_id", "text", 0.85, "split"))
+
+
+def _plain_skeleton():
+    return skeleton("text", F.array().cast("array<struct<start: int, end: int>>"))
+
+
+@_query
+def q06_pervasive_4grams(spark, sf_dir):
+    return phrases.pervasive(_docs(spark, sf_dir), _plain_skeleton()).orderBy(F.desc("df"), "gram").limit(20)
+
+
+@_query
+def q07_kind_markers(spark, sf_dir):
+    labelled = _docs(spark, sf_dir).join(spark.read.parquet(f"{sf_dir}/labels.parquet"), "doc_id")
+    return phrases.class_markers(labelled, phrases.marker_tokens(_plain_skeleton()), "quality", 20)
+
+
+@_query
+def q08_label_markers(spark, sf_dir):
+    one = records(spark, sf_dir).filter(F.size("annotations") == 1).withColumn("label", F.col("annotations")[0]["entity_type"])
+    return phrases.class_markers(one, phrases.marker_tokens(skeleton("text", "annotations")), "label", 3)
+
+
+@_query
+def q09_identifier_spans(spark, sf_dir):
+    flat = records(spark, sf_dir).select("doc_id", F.explode("annotations").alias("a"))
+    return flat.select("doc_id", F.col("a.entity_type").alias("label"), "a.start", "a.end", "a.text", "a.byte_start")
+
+
+@_query
+def q10_shape_entity_share(spark, sf_dir):
+    return values.shape_entity(records(spark, sf_dir))
+
+
+@_query
+def q11_value_diversity(spark, sf_dir):
+    return values.distinct_values(records(spark, sf_dir))
+
+
+@_query
+def q12_shared_affix(spark, sf_dir):
+    return values.affixes(records(spark, sf_dir))
+
+
+@_query
+def q13_safety_scan(spark, sf_dir):
+    both = _docs(spark, sf_dir).select("text").unionByName(spark.read.parquet(f"{sf_dir}/pages.parquet").select(F.col("url").alias("text")))
+    return both.select(F.explode(safety.text_reasons("text", ("example.org",))).alias("reason")).groupBy("reason").agg(F.count("*").alias("records"))
+
+
+@_query
+def q14_family_share(spark, sf_dir):
+    return values.shares(records(spark, sf_dir), "family")
+
+
+@_query
+def q15_cell_diversity(spark, sf_dir):
+    rec = records(spark, sf_dir)
+    splits = spark.createDataFrame([(s,) for s in (*SPLITS, "spare")], "split string")
+    return values.cells(rec, rec.select("family").distinct(), splits)
+
+
+@_query
+def q16_template_share(spark, sf_dir):
+    return values.shares(records(spark, sf_dir), "template_id")
+
+
+def _pairs(spark, sf_dir):
+    return scoring.paired(records(spark, sf_dir), predictions(spark, sf_dir))
+
+
+@_query
+def q17_score_strict(spark, sf_dir):
+    return scoring.slices(_pairs(spark, sf_dir), "strict")
+
+
+@_query
+def q18_score_overlap(spark, sf_dir):
+    return scoring.slices(_pairs(spark, sf_dir), "overlap")
+
+
+@_query
+def q19_over_trigger(spark, sf_dir):
+    return scoring.triggered(_pairs(spark, sf_dir), "unannotated")
+
+
+@_query
+def q20_conflict_outcomes(spark, sf_dir):
+    return scoring.conflict_outcomes(_pairs(spark, sf_dir), F.lit(True), F.lit("CODE"))
+
+
+@_query
+def q21_bio_tokens(spark, sf_dir):
+    return spans.tagged(records(spark, sf_dir)).drop("split")
+
+
+@_query
+def q22_bio_decode(spark, sf_dir):
+    tagged = spans.tagged(records(spark, sf_dir))
+    found = spans.decoded(tagged.withColumn("offset", F.struct("start", "end")).withColumn("tag", F.coalesce("tag", F.lit("O"))), ["case_id"])
+    place = tagged.select("case_id", "pos", "start", "end")
+    first = place.select("case_id", F.col("pos").alias("first_pos"), "start")
+    last = place.select("case_id", F.col("pos").alias("last_pos"), "end")
+    return found.join(first, ["case_id", "first_pos"]).join(last, ["case_id", "last_pos"]).select("case_id", "span_no", "label", "start", "end")
+
+
+@_query
+def q23_markup_parse(spark, sf_dir):
+    own = F.regexp_replace(F.regexp_replace("text", r"\[\[", "[ ["), r"\]\]", "] ]")
+    rec = records(spark, sf_dir).filter(own == F.col("text"))
+    marked = rec.select("case_id", spans.parsed(spans.rendered(F.col("text"), F.col("annotations"))).alias("m"))
+    return marked.select("case_id", F.explode("m.annotations").alias("a")).select("case_id", F.col("a.entity_type").alias("label"), "a.start", "a.end", "a.text")
+
+
+@_query
+def q24_case_id(spark, sf_dir):
+    return _docs(spark, sf_dir).select("doc_id", identity.external_id(F.col("source"), F.col("doc_id"), F.col("text")).alias("case_id"))
+
+
+@_query
+def q25_benchmark_containment(spark, sf_dir):
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return similarity.containment(items, "item_id", "text", _docs(spark, sf_dir), "doc_id", "text")
+
+
+@_query
+def q26_unknown_ids(spark, sf_dir):
+    return scoring.unknown_ids(records(spark, sf_dir), predictions(spark, sf_dir))
+
+
+@_query
+def q27_span_validation(spark, sf_dir):
+    moved = F.transform(
+        "annotations", lambda a: F.struct(a["entity_type"].alias("entity_type"), (a["start"] + (F.col("doc_id") % 3 == 0).cast("int")).alias("start"), (a["end"] + F.when(F.col("doc_id") % 4 == 0, 1_000_000).otherwise(0)).alias("end"), a["byte_start"].alias("byte_start"), a["byte_end"].alias("byte_end"), a["text"].alias("text"))
+    )
+    faults = records(spark, sf_dir).withColumn("annotations", moved).select(F.explode(spans.span_faults("text", "annotations")).alias("code"))
+    return faults.groupBy("code").agg(F.count("*").alias("n"))
+
+
+@_query
+def q29_char_gram_features(spark, sf_dir):
+    flat = _docs(spark, sf_dir).select(F.explode_outer(char_grams("text")).alias("bucket")).filter("bucket is not null")
+    return flat.groupBy("bucket").agg(F.count("*").alias("n"))
