@@ -124,15 +124,13 @@ def jaccard(a: Column, b: Column) -> Column:
 def char_grams(text: str | Column, widths=(3, 4, 5), buckets: int = 1 << 18) -> Column:
     """Buckets of the character n-grams of a text, with repeats."""
 
-    def of_width(folded: Column, w: int) -> Column:
-        n = F.length(folded) - w + 1
-        grams = F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.crc32(F.substring(folded, i, F.lit(w)).cast("binary")).bitwiseAND(F.lit(buckets - 1)).cast("int"))
+    def of_width(chars: Column, w: int) -> Column:
+        n = F.size(chars) - w + 1
+        grams = F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.crc32(F.array_join(F.slice(chars, i, w), "").cast("binary")).bitwiseAND(F.lit(buckets - 1)).cast("int"))
         return F.when(n >= 1, grams).otherwise(F.array().cast("array<int>"))
 
-    def hashed(folded: Column) -> Column:
-        return F.concat(*(of_width(folded, w) for w in widths))
-
-    return let(casefold(text), hashed)
+    # An array of characters: reaching into a long string would take time in proportion to the place.
+    return let(F.filter(F.split(casefold(text), ""), lambda c: c != ""), lambda chars: F.concat(*(of_width(chars, w) for w in widths)))
 
 
 _SHAPES: dict[str, object] = {}

@@ -42,16 +42,17 @@ def tagged(records: DataFrame, id_col: str = "case_id") -> DataFrame:
     several; exporters refuse such records. Spans of a record are spread over
     its tokens by an interval test within the row, without a join.
     """
-    whole = records.select(
-        F.col(id_col), "split", F.transform("annotations", lambda a: F.struct(a["start"].alias("start"), a["end"].alias("end"), a["entity_type"].alias("label"))).alias("spans"), F.posexplode(tokens_with_offsets("text")).alias("pos", "t")
-    )
+    lead = lambda a: F.length(a["text"]) - F.length(F.regexp_replace(a["text"], r"(?U)\A\s+", ""))
+    own = F.transform("annotations", lambda a: F.struct(a["start"].alias("start"), a["end"].alias("end"), a["entity_type"].alias("label"), (a["start"] + lead(a)).alias("first")))
+    held = records.select(F.col(id_col), "split", "text", own.alias("spans"))
+    whole = held.select(id_col, "split", "spans", F.posexplode(tokens_with_offsets("text")).alias("pos", "t"))
     met = F.filter("spans", lambda a: (F.col("t.start") < a["end"]) & (F.col("t.end") > a["start"]))
     found = whole.select(F.col(id_col), "split", "pos", "t.start", "t.end", "t.token", met.alias("met"))
-    one = F.element_at("met", 1)
+    one = F.get("met", F.lit(0))
     inside = (one["start"] <= F.col("start")) & (F.col("end") <= one["end"])
-    # Spans don't overlap, so a span's first token is the one at its start, white space aside.
-    first = F.row_number().over(Window.partitionBy(id_col, "split", F.col("met")[0]["start"]).orderBy("pos")) == 1
-    tag = F.when(F.size("met") == 0, F.lit("O")).when((F.size("met") == 1) & inside, F.concat(F.when(first, F.lit("B-")).otherwise(F.lit("I-")), one["label"]))
+    # A span's first token is the one at its first character that is no white space.
+    head = F.when(F.col("start") == one["first"], F.lit("B-")).otherwise(F.lit("I-"))
+    tag = F.when(F.size("met") == 0, F.lit("O")).when((F.size("met") == 1) & inside, F.concat(head, one["label"]))
     return found.select(id_col, "split", "pos", "start", "end", "token", tag.alias("tag"))
 
 

@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 
 from glossator.functions import identity, safety
 from glossator.functions.text import char_grams, fingerprint, skeleton
-from glossator.operators import contamination, phrases, scoring, similarity, spans, values
+from glossator.operators import contamination, phrases, probe, scoring, similarity, spans, values
 from glossator.schema import SPLITS
 
+from . import profiles
 from .oracles import ORACLES
 from .records import predictions, records
 
@@ -203,3 +204,15 @@ def q27_span_validation(spark, sf_dir):
 def q29_char_gram_features(spark, sf_dir):
     flat = _docs(spark, sf_dir).select(F.explode_outer(char_grams("text")).alias("bucket")).filter("bucket is not null")
     return flat.groupBy("bucket").agg(F.count("*").alias("n"))
+
+
+@_query
+def q28_threshold_strictness(spark, sf_dir):
+    return profiles.strictness(spark, profiles.thresholds(max_family_share=0.5, minimum_distinct_values_per_label=5, minimum_marker_support=40, max_template_share=0.01))
+
+
+@_query
+def q30_probe_metrics(spark, sf_dir):
+    names = ("accuracy", "balanced_accuracy", "macro_f1", "majority_baseline", "balanced_baseline")
+    rows, _ = probe.probe(probe.tasks(records(spark, sf_dir))["value_label"])
+    return spark.createDataFrame([(r.split, n, float(r[n])) for r in rows for n in names], "split string, metric string, value double")

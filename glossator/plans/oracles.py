@@ -45,7 +45,7 @@ w AS (SELECT doc_id, CASE WHEN doc_id % 10 < 6 THEN 'train' WHEN doc_id % 10 < 8
 s AS (SELECT doc_id, split, list_distinct(CASE WHEN len(ws) >= 4 THEN list_transform(range(1, len(ws) - 2), lambda i: array_to_string(ws[i:i+3], ' ')) WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END) AS sh FROM w),
 x AS (SELECT doc_id, split, len(sh) AS n, hash(unnest(sh)) AS h FROM s)"""
 
-_SKELETON = "regexp_extract_all(lower(regexp_replace(regexp_replace(text, '\\b\\d+\\b', '#', 'g'), '\\s+', ' ', 'g')), '[a-z]+|<[^>]+>|#')"
+_SKELETON = "regexp_extract_all(translate(replace(lower(regexp_replace(regexp_replace(text, '\\b\\d+\\b', '#', 'g'), '\\s+', ' ', 'g')), 'ß', 'ss'), 'ſς', 'sσ'), '[a-z]+|<[^>]+>|#')"
 
 
 _MARKS = _SKELETON.replace("|#'", "'")
@@ -86,7 +86,7 @@ ORACLES: dict[str, str] = {
     "q06_pervasive_4grams": f"""WITH t AS (SELECT {_SKELETON} AS tok FROM documents), g AS (SELECT unnest(list_distinct(list_transform(range(1, len(tok) - 2), lambda i: array_to_string(tok[i:i+3], ' ')))) AS gram FROM t)
         SELECT gram, count(*) AS df FROM g GROUP BY gram ORDER BY df DESC, gram LIMIT 20""",
     "q07_kind_markers": f"WITH {_grams('documents JOIN labels USING (doc_id)', 'quality', _MARKS)} {_markers(20)}",
-    "q08_label_markers": f"""WITH {RECORDS}, one AS (SELECT spans[1].label AS label, substr(text, 1, spans[1].s) || ' ' || substr(text, spans[1].e + 1) AS text FROM r WHERE len(spans) = 1),
+    "q08_label_markers": f"""WITH {RECORDS}, one AS (SELECT spans[1].label AS label, substr(text, 1, spans[1].s) || '<entity>' || substr(text, spans[1].e + 1) AS text FROM r WHERE len(spans) = 1),
         {_grams('one', 'label', _MARKS)} {_markers(3)}""",
     "q09_identifier_spans": f"WITH {RECORDS} SELECT doc_id, label, s AS start, e AS \"end\", x AS text, CAST(strlen(substr(text, 1, s)) AS INTEGER) AS byte_start FROM a",
     "q10_shape_entity_share": f"""WITH {RECORDS}, o AS (SELECT u.x AS x, CASE WHEN len(spans) > 0 THEN 1 ELSE 0 END AS k FROM (SELECT spans, unnest(every) AS u FROM r WHERE len(every) > 0)),
@@ -131,6 +131,7 @@ ORACLES: dict[str, str] = {
         k AS (SELECT unnest([CASE WHEN bounds THEN 'bounds' END, CASE WHEN overlap THEN 'overlap' END, CASE WHEN NOT bounds AND differs THEN 'text' END, CASE WHEN NOT bounds AND moved THEN 'bytes' END]) AS code FROM y JOIN o USING (case_id))
         SELECT code, count(*) AS n FROM k WHERE code IS NOT NULL GROUP BY code""",
 }
+ORACLES["q28_threshold_strictness"] = "SELECT * FROM (VALUES ('max_family_share', 0.5, 0.12), ('minimum_distinct_values_per_label', 5.0, 30.0), ('minimum_marker_support', 40.0, 20.0)) AS t(key, configured, reference)".replace("0.5,", "CAST(0.5 AS DOUBLE),").replace("0.12)", "CAST(0.12 AS DOUBLE))")
 ORACLES["q18_score_overlap"] = ORACLES["q17_score_strict"].replace(
     "k AS (SELECT case_id, family, kind, split, label, s, e, count(*) AS g",
     """ov AS (SELECT a.case_id, a.s, a.e, q.s AS ps, q.e AS pe, a.label FROM a JOIN q ON q.case_id = a.case_id AND q.label = a.label AND greatest(least(a.e, q.e) - greatest(a.s, q.s), 0) * 2 >= greatest(a.e, q.e) - least(a.s, q.s)),
