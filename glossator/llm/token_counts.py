@@ -6,7 +6,7 @@ distinct pre-token of the corpus; a document's tokens are the sum, over its
 pre-tokens, of frequency times pieces. No ids are made.
 
 Frequent pre-tokens have their pieces joined by a broadcast table of at most
-``hot`` rows, before anything is shuffled, so that a document sends on one
+``hot`` rows (their least frequency comes from a histogram), before anything is shuffled, so that a document sends on one
 partial sum for all of them. Only frequencies of the others travel to meet
 their pieces in an ordinary join.
 """
@@ -25,7 +25,7 @@ from .common import written
 RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: The tokenizer's pattern; in Java's syntax with Unicode classes.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-HOT = 65_536
+HOT = 262_144
 
 
 def encoding(ranks: str = RANKS, pattern: str = PATTERN):
@@ -58,6 +58,20 @@ def piece_counts(docs: DataFrame, text_col: str = "text", ranks: str = RANKS, pa
     return counted.mapInArrow(_counter(ranks, pattern), "word string, n long, pieces int")
 
 
+def _least(table: DataFrame, hot: int, steps: int = 64) -> float:
+    """The smallest frequency, on a logarithmic grid, that at most ``hot`` pre-tokens reach."""
+    place = F.floor(F.log2(F.col("n")) * steps)
+    counts = {r.place: r["count"] for r in table.groupBy(place.alias("place")).count().collect()}
+    # A step above the top one, which none reaches, for the case that even the commonest are too many.
+    edge = max(counts, default=0) + 1
+    for place in sorted(counts, reverse=True):
+        hot -= counts[place]
+        if hot < 0:
+            break
+        edge = place
+    return 2 ** (edge / steps)
+
+
 def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ranks: str = RANKS, pattern: str = PATTERN, hot: int = HOT) -> DataFrame:
     """(doc_id, pretokens, tokens), one row for each input row.
 
@@ -67,7 +81,7 @@ def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     columns, whatever their names, are not looked at.
     """
     table = written(piece_counts(docs, text_col, ranks, pattern), "piece-counts")
-    frequent = table.orderBy(F.desc("n"), "word").limit(hot).select("word", F.col("pieces").alias("known"))
+    frequent = table.filter(F.col("n") >= _least(table, hot)).select("word", F.col("pieces").alias("known"))
     src = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("t")).withColumn("rid", F.monotonically_increasing_id())
     flat = src.select("rid", "doc_id", F.explode_outer(pretokens(F.col("t"), pattern)).alias("word"))
     met = flat.join(F.broadcast(frequent), "word", "left")
