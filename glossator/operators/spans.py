@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from glossator.functions.text import byte_offset, code_point, tokens_with_offsets
+from glossator.functions.text import byte_offset, code_point, let, tokens_with_offsets
 from glossator.schema import ANNOTATIONS
 
 LABEL = "[A-Z][A-Z0-9_]{1,63}"
@@ -81,25 +81,36 @@ def parsed(marked: Column) -> Column:
     ``fault`` is null for a good text; else it says what is wrong, and text
     and annotations are null. Labels and values lose white space around them.
     """
-    labels = F.transform(F.regexp_extract_all(marked, F.lit(MARK), F.lit(1)), lambda x: F.trim(x))
-    values = F.transform(F.regexp_extract_all(marked, F.lit(MARK), F.lit(2)), lambda x: F.trim(x))
-    gaps = F.split(marked, MARK, -1)
-    clean = F.array_join(F.zip_with(gaps, values, lambda g, v: F.concat(g, F.coalesce(v, F.lit("")))), "")
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<label: string, start: int, end: int, text: string>>").alias("out"))
-
-    def step(seen: Column, x: Column) -> Column:
-        begin = seen["at"] + F.length(x["gap"])
-        return F.struct((begin + F.length(x["value"])).alias("at"), F.concat(seen["out"], F.array(F.struct(x["label"].alias("label"), begin.alias("start"), (begin + F.length(x["value"])).alias("end"), x["value"].alias("text")))).alias("out"))
-
-    parts = F.zip_with(F.arrays_zip(labels.alias("label"), values.alias("value")), gaps, lambda p, g: F.struct(p["label"].alias("label"), p["value"].alias("value"), g.alias("gap")))
-    spans = F.aggregate(F.filter(parts, lambda p: p["label"].isNotNull()), start, step)["out"]
-    stray = F.exists(gaps, lambda g: g.contains("[[") | g.contains("]]"))
-    fault = (
-        F.when(F.exists(gaps, lambda g: g.rlike(r"\[\[(?!.*\]\])")), "unclosed mark").when(F.exists(gaps, lambda g: g.contains("[[") & ~g.contains(":")), "mark without label")
-        .when(stray, "stray or nested mark").when(F.exists(labels, lambda x: ~x.rlike(rf"\A{LABEL}\z")), "malformed label").when(F.exists(values, lambda v: v == ""), "empty value")
-    )
-    full = F.transform(spans, lambda s: annotation(s["label"], s["start"], s["end"], s["text"], clean))
-    return F.struct(F.when(fault.isNull(), clean).alias("text"), F.when(fault.isNull(), full).alias("annotations"), fault.alias("fault"))
+
+    def cut(m: Column) -> Column:
+        own = lambda k: F.transform(F.regexp_extract_all(m, F.lit(MARK), F.lit(k)), lambda x: F.trim(x))
+        return F.struct(own(1).alias("labels"), own(2).alias("values"), F.split(m, MARK, -1).alias("gaps"))
+
+    def joined(p: Column) -> Column:
+        clean = F.array_join(F.zip_with(p["gaps"], p["values"], lambda g, v: F.concat(g, F.coalesce(v, F.lit("")))), "")
+        start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<label: string, start: int, end: int, text: string>>").alias("out"))
+
+        def step(seen: Column, x: Column) -> Column:
+            begin = seen["at"] + F.length(x["gap"])
+            end = begin + F.length(x["value"])
+            return F.struct(end.alias("at"), F.concat(seen["out"], F.array(F.struct(x["label"].alias("label"), begin.alias("start"), end.alias("end"), x["value"].alias("text")))).alias("out"))
+
+        pairs = F.zip_with(p["labels"], p["values"], lambda k, v: F.struct(k.alias("label"), v.alias("value")))
+        parts = F.zip_with(pairs, p["gaps"], lambda x, g: F.struct(x["label"].alias("label"), x["value"].alias("value"), g.alias("gap")))
+        spans = F.aggregate(F.filter(parts, lambda x: x["label"].isNotNull()), start, step)["out"]
+        fault = (
+            F.when(F.exists(p["gaps"], lambda g: g.rlike(r"\[\[(?!.*\]\])")), "unclosed mark").when(F.exists(p["gaps"], lambda g: g.contains("[[") & ~g.contains(":")), "mark without label")
+            .when(F.exists(p["gaps"], lambda g: g.contains("[[") | g.contains("]]")), "stray or nested mark").when(F.exists(p["labels"], lambda x: ~x.rlike(rf"\A{LABEL}\z")), "malformed label").when(F.exists(p["values"], lambda v: v == ""), "empty value")
+        )
+        return F.struct(clean.alias("clean"), spans.alias("spans"), fault.alias("fault"))
+
+    def full(x: Column) -> Column:
+        each = F.transform(x["spans"], lambda s: annotation(s["label"], s["start"], s["end"], s["text"], x["clean"]))
+        good = x["fault"].isNull()
+        return F.struct(F.when(good, x["clean"]).alias("text"), F.when(good, each).alias("annotations"), x["fault"].alias("fault"))
+
+    # Each step is bound once for a row; written out in place it would be repeated for every mark.
+    return let(let(let(marked, cut), joined), full)
 
 
 def rendered(text: Column, annotations: Column) -> Column:

@@ -12,7 +12,7 @@ from glossator.functions.text import char_grams, fingerprint, skeleton
 from glossator.operators import contamination, phrases, probe, scoring, similarity, spans, values
 from glossator.schema import SPLITS
 
-from . import profiles
+from . import generate, profiles
 from .oracles import ORACLES
 from .records import predictions, records
 
@@ -216,3 +216,8 @@ def q30_probe_metrics(spark, sf_dir):
     names = ("accuracy", "balanced_accuracy", "macro_f1", "majority_baseline", "balanced_baseline")
     rows, _ = probe.probe(probe.tasks(records(spark, sf_dir))["value_label"])
     return spark.createDataFrame([(r.split, n, float(r[n])) for r in rows for n in names], "split string, metric string, value double")
+
+
+@_query
+def q31_generated_counts(spark, sf_dir):
+    return generate.generate(spark, generate.demo()).groupBy("split", "family", "kind").agg(F.count("*").alias("n"), F.count_distinct("text").alias("texts"), F.sum(F.size("annotations")).cast("long").alias("annotations"))
