@@ -80,7 +80,7 @@ def record_reasons(text: str, annotations: str, plugins: dict[str, str], prefixe
 
 
 def luhn_invalid(digits: Column) -> Column:
-    return ~F.luhn_check(digits)
+    return ~F.call_function("luhn_check", digits)
 
 
 def _ip(value: Column) -> Column:

@@ -12,13 +12,14 @@ from glossator.operators.spans import annotation, decoded, parsed
 from glossator.schema import ANNOTATIONS, CUE_LINKS, RECORD, RECORD_VERSION
 
 _SPAN = "array<struct<start: int, end: int, entity_type: string, label: string>>"
-_BAD = "_corrupt"
+_BAD, _FILE = "_corrupt", "_file"
 
 
 def _lines(spark: SparkSession, path: str | list[str], schema: str) -> DataFrame:
     """JSON objects, one a line, under a fixed schema; a malformed line stops the job and names its file."""
-    rows = spark.read.schema(f"{schema}, {_BAD} string").option("columnNameOfCorruptRecord", _BAD).option("mode", "PERMISSIVE").json(path)
-    where = F.concat(F.lit("invalid JSON record in "), F.col("_metadata.file_path"), F.lit(": "), F.substring(_BAD, 1, 200))
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias(_FILE)).filter(F.trim("value") != "")
+    rows = lines.select(F.from_json("value", f"{schema}, {_BAD} string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _BAD}).alias("r"), _FILE).select("r.*", _FILE)
+    where = F.concat(F.lit("invalid JSON record in "), F.col(_FILE), F.lit(": "), F.substring(_BAD, 1, 200))
     good = F.when(F.col(_BAD).isNull(), F.lit(True)).otherwise(F.raise_error(where).cast("boolean"))
     return rows.filter(good).drop(_BAD)
 
@@ -26,7 +27,7 @@ def _lines(spark: SparkSession, path: str | list[str], schema: str) -> DataFrame
 def read_records(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Record files as written by :func:`glossator.sources.exports.write_corpus`."""
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in RECORD.fields)
-    return _lines(spark, path, fields)
+    return _lines(spark, path, fields).drop(_FILE)
 
 
 def read_predictions(spark: SparkSession, path: str | list[str]) -> DataFrame:
@@ -65,7 +66,7 @@ def _jsonl(spark, path, split, byte_offsets):
     place = (lambda at: code_point(F.col("text"), at)) if byte_offsets else (lambda at: at)
     own = F.transform(both, lambda s: F.struct(place(s["start"]).alias("start"), place(s["end"]).alias("end"), F.coalesce(s["entity_type"], s["label"]).alias("entity_type")))
     bad = F.exists(own, lambda s: F.coalesce((s["start"] < 0) | (s["start"] >= s["end"]) | (s["end"] > F.length("text")), F.lit(True)))
-    checked = F.when(~bad, own).otherwise(F.raise_error(F.concat(F.lit("span out of bounds in "), F.col("_metadata.file_path"))).cast("array<struct<start: int, end: int, entity_type: string>>"))
+    checked = F.when(~bad, own).otherwise(F.raise_error(F.concat(F.lit("span out of bounds in "), F.col(_FILE))).cast("array<struct<start: int, end: int, entity_type: string>>"))
     return rows.select(F.coalesce("split", F.lit(split)).alias("split"), "text", checked.alias("spans"))
 
 
