@@ -1,11 +1,10 @@
 """URL filter by the ratio of two character language models.
 
 Two Markov models of variable order are counted from labelled URLs, one from
-accepted, one from rejected ones. A context has up to ``order`` characters; the
-counts of all labelled URLs are gathered, and each model is a tree of its most
-frequent contexts, in which a character is predicted from the longest context
-that the tree has. Predictions are smoothed by interpolating each context with
-the next shorter one (Witten and Bell's weights) down to a uniform one.
+accepted, one from rejected ones. A context has up to ``order`` characters. A
+character is predicted from the longest context that the model has.
+Predictions are smoothed by interpolating each context with the next shorter
+one (Witten and Bell's weights) down to a uniform one.
 
 A URL's score is the difference of its log-likelihoods, rejected minus
 accepted, divided by its length. The threshold is calibrated on labelled URLs
@@ -13,16 +12,18 @@ that were not counted.
 
 The counts are those of windows of ``order + 1`` characters, so a URL sends
 each window once, combined before the shuffle; shorter contexts come from the
-distinct windows.
+distinct windows. The models grow with the labelled URLs and are never
+gathered in one place: they are tables by context, and windows meet them by
+joins. Each distinct window is scored once. Its probability is built from that
+of its shorter ends, level by level, so no key of these joins has more rows
+than there are different characters.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 from dataclasses import dataclass
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,12 +31,12 @@ from .common import forget, written
 
 ORDER = 5
 LEAST_COUNT = 2
-#: Size of a model's tree. It bounds what is broadcast and doesn't limit what is counted.
-MAX_CONTEXTS = 50_000
 ALPHABET = 4096
 FALSE_REJECTS = 0.01
 FOLDS = 5
 START, END = "\x02", "\x03"
+#: Windows are cut from pieces of so many characters, as finding a place in a string takes time in proportion to it.
+PIECE = 512
 #: Words of hosts that seed the rejected class of the query.
 SEEDS = ("adult", "ads", "bets", "casino", "pills", "porn", "spam", "track")
 
@@ -63,32 +64,11 @@ class Model:
         return math.log(p)
 
 
-@dataclass
-class Filter:
-    accepted: Model | None
-    rejected: Model | None
-    threshold: float
-
-    def score(self, url: str, memory: dict[str, float]) -> float:
-        """Length-normalised log-likelihood difference; above 0 where the rejected model fits better."""
-        if self.accepted is None or self.rejected is None:
-            return 0.0
-        order = self.accepted.order
-        padded = START * order + url + END
-        total = 0.0
-        for i in range(len(url) + 1):
-            window = padded[i : i + order + 1]
-            own = memory.get(window)
-            if own is None:
-                own = memory[window] = self.rejected.log_probability(window) - self.accepted.log_probability(window)
-            total += own
-        return total / (len(url) + 1)
-
-
 def windows(url: Column, order: int = ORDER) -> Column:
     """All windows of ``order`` characters and the one after them, from the first character to the end mark."""
     padded = F.concat(F.lit(START * order), url, F.lit(END))
-    return F.transform(F.sequence(F.lit(1), F.length(url) + 1), lambda i: F.substring(padded, i, F.lit(order + 1)))
+    pieces = F.transform(F.sequence(F.lit(1), F.length(url) + 1, F.lit(PIECE)), lambda i: F.substring(padded, i, F.lit(PIECE + order)))
+    return F.flatten(F.transform(pieces, lambda p: F.transform(F.sequence(F.lit(1), F.length(p) - order), lambda i: F.substring(p, i, F.lit(order + 1)))))
 
 
 def held_out(url: Column, folds: int = FOLDS) -> Column:
@@ -96,66 +76,102 @@ def held_out(url: Column, folds: int = FOLDS) -> Column:
     return F.pmod(F.xxhash64(url, F.lit(3)), F.lit(folds)) == 0
 
 
-def window_counts(labelled: DataFrame, order: int = ORDER) -> DataFrame:
-    """(label, window, n) of ``labelled(url, label)``."""
+def ends(window: Column, order: int = ORDER) -> Column:
+    """The last 1, 2, ... ``order + 1`` characters of a window, one row each."""
+    return F.explode(F.transform(F.sequence(F.lit(1), F.lit(order + 1)), lambda k: F.substring(window, F.lit(order + 2) - k, k)))
+
+
+def _context(gram: str = "gram") -> Column:
+    return F.substring(F.col(gram), F.lit(1), F.length(gram) - 1)
+
+
+def gram_counts(labelled: DataFrame, order: int = ORDER) -> DataFrame:
+    """(gram, n0, n1): how often ``labelled(url, label)`` has each context with its next character, by label."""
     flat = labelled.select("label", F.explode_outer(windows(F.col("url"), order)).alias("window"))
-    return flat.groupBy("label", "window").agg(F.count("*").alias("n"))
+    each = flat.groupBy("window").agg(F.count_if(F.col("label") == 0).alias("n0"), F.count_if(F.col("label") == 1).alias("n1"))
+    return each.select(ends(F.col("window"), order).alias("gram"), "n0", "n1").groupBy("gram").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
 
 
-def fit(labelled: DataFrame, order: int = ORDER, least_count: int = LEAST_COUNT, max_contexts: int = MAX_CONTEXTS) -> tuple[Model | None, Model | None]:
-    """(accepted, rejected) models of ``labelled(url, label)``, label 0 or 1; None for a label without URLs.
+def contexts_of(grams: DataFrame, least_count: int = LEAST_COUNT, max_contexts: int | None = None) -> DataFrame:
+    """(context, t0, k0, t1, k1): occurrences and different next characters by label; t0 or t1 is null where that model lacks the context.
 
-    Contexts seen fewer than ``least_count`` times are left out, and of the
-    others all but the ``max_contexts`` most frequent (ties: shorter first,
-    then by character). A context's suffixes are at least as frequent and
-    shorter, so they stay when it stays.
+    Contexts seen fewer than ``least_count`` times are left out. With
+    ``max_contexts`` a model has only so many, the most frequent (ties: shorter
+    first, then by character). A context's suffixes are at least as frequent
+    and shorter, so they stay when it stays.
     """
-    counts = written(window_counts(labelled, order), "url-windows")
-    depths = F.explode(F.sequence(F.lit(0), F.lit(order)))
-    parts = counts.select("label", "window", "n", depths.alias("k")).select(
-        "label", F.substring(F.col("window"), F.lit(order + 1) - F.col("k"), F.col("k")).alias("context"), F.substring(F.col("window"), F.lit(order + 1), F.lit(1)).alias("char"), "n"
+    total = lambda n: F.when(F.sum(n) >= least_count, F.sum(n))
+    own = grams.groupBy(_context().alias("context")).agg(
+        total("n0").alias("t0"), F.count_if(F.col("n0") > 0).alias("k0"), total("n1").alias("t1"), F.count_if(F.col("n1") > 0).alias("k1")
     )
-    table = written(parts.groupBy("label", "context", "char").agg(F.sum("n").alias("n")), "url-contexts")
-    totals = table.groupBy("label", "context").agg(F.sum("n").alias("total"))
+    for t in ("t0", "t1") if max_contexts is not None else ():
+        top = own.filter(F.col(t).isNotNull()).orderBy(F.desc(t), F.length("context"), "context").limit(max_contexts)
+        own = own.join(top.select("context", F.lit(True).alias("__top")), "context", "left").withColumn(t, F.when(F.col("__top"), F.col(t))).drop("__top")
+    return own.filter("t0 is not null or t1 is not null")
+
+
+def fit(labelled: DataFrame, order: int = ORDER, least_count: int = LEAST_COUNT, max_contexts: int | None = None) -> tuple[Model | None, Model | None]:
+    """(accepted, rejected) models of ``labelled(url, label)``, label 0 or 1, on the driver; None for a label without URLs.
+
+    For small models; :func:`filter_urls` leaves them where they are counted.
+    """
+    grams = written(gram_counts(labelled, order), "url-grams")
+    placed = grams.withColumn("context", _context()).join(contexts_of(grams, least_count, max_contexts), "context")
     models = []
     for label in (0, 1):
-        top = totals.filter((F.col("label") == label) & (F.col("total") >= least_count)).orderBy(F.desc("total"), F.length("context"), "context").limit(max_contexts)
         after: dict[str, dict[str, int]] = {}
-        for r in table.filter(F.col("label") == label).join(F.broadcast(top.select("context")), "context").select("context", "char", "n").collect():
-            after.setdefault(r.context, {})[r.char] = r.n
+        for r in placed.filter(f"t{label} is not null and n{label} > 0").select("context", "gram", F.col(f"n{label}").alias("n")).collect():
+            after.setdefault(r.context, {})[r.gram[-1]] = r.n
         models.append(Model(order, after) if after else None)
-    forget(counts, table)
+    forget(grams)
     return models[0], models[1]
 
 
-def _scorer(held, most: int = 500_000):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, memory = held.value, {}
-        for batch in batches:
-            scores = []
-            for url in batch.column("url").to_pylist():
-                if len(memory) > most:
-                    memory.clear()
-                scores.append(own.score(url, memory) if url else None)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, type=pa.float64())], names=[*batch.schema.names, "score"])
+def window_scores(asked: DataFrame, grams: DataFrame, contexts: DataFrame, order: int = ORDER) -> DataFrame:
+    """(window, s) of the distinct ``asked(window)``: log-probability of the last character after the others, rejected minus accepted."""
+    wanted = asked.select(ends(F.col("window"), order).alias("gram")).distinct().withColumn("context", _context())
+    known = written(wanted.join(contexts, "context", "left").join(grams, "gram", "left").drop("context").withColumn("size", F.length("gram")), "url-known")
 
-    return run
+    def smoothed(label: int, shorter: Column) -> Column:
+        n, t, k = F.coalesce(f"n{label}", F.lit(0)), F.col(f"t{label}"), F.col(f"k{label}")
+        return F.when(t.isNull(), shorter).otherwise((n + k * shorter) / (t + k)).alias(f"p{label}")
 
+    level = None
+    for size in range(1, order + 2):
+        own = known.filter(F.col("size") == size)
+        if level is None:
+            shorter = [F.lit(1 / ALPHABET)] * 2
+        else:
+            own = own.join(level.select(F.col("gram").alias("end"), F.col("p0").alias("q0"), F.col("p1").alias("q1")), F.substring("gram", 2, order + 1) == F.col("end"))
+            shorter = [F.col("q0"), F.col("q1")]
+        level = own.select("gram", *(smoothed(label, shorter[label]) for label in (0, 1)))
+    found = written(level.select(F.col("gram").alias("window"), (F.log("p1") - F.log("p0")).alias("s")), "url-window-scores")
+    forget(known)
+    return found
 
-def scored(urls: DataFrame, own: Filter) -> DataFrame:
-    """``urls`` with the column score; it has a column url and no column score."""
-    held = urls.sparkSession.sparkContext.broadcast(own)
-    shape = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in urls.schema)
-    return urls.mapInArrow(_scorer(held), f"{shape}, score double")
+
+def scores(rows: DataFrame, grams: DataFrame, contexts: DataFrame, order: int = ORDER) -> DataFrame:
+    """(rid, score) of ``rows(rid, url)``, URLs not empty; above 0 where the rejected model fits better.
+
+    Where either model is empty nothing can be told apart and all scores are 0.
+    """
+    root = contexts.filter("context = ''").first()
+    if root is None or root.t0 is None or root.t1 is None:
+        return rows.select("rid", F.lit(0.0).alias("score"))
+    flat = rows.select("rid", F.explode(windows(F.col("url"), order)).alias("window"))
+    of_windows = window_scores(flat.select("window").distinct(), grams, contexts, order)
+    found = written(flat.join(of_windows, "window").groupBy("rid").agg(F.avg("s").alias("score")), "url-scores")
+    forget(of_windows)
+    return found
 
 
-def calibrated(held: DataFrame, own: Filter, false_rejects: float = FALSE_REJECTS, grid: float = 1e-3) -> float:
-    """The smallest threshold, on a grid, above which at most ``false_rejects`` of the accepted ``held(url, label)`` score.
+def calibrated(held: DataFrame, false_rejects: float = FALSE_REJECTS, grid: float = 1e-3) -> float:
+    """The smallest threshold, on a grid, above which at most ``false_rejects`` of ``held(score)``, accepted URLs, score.
 
-    Without accepted URLs it is 0. The histogram has as many rows as scores
-    differ on the grid, whatever the number of URLs.
+    Without any it is 0. The histogram has as many rows as scores differ on the
+    grid, whatever the number of URLs.
     """
-    binned = scored(held.filter("label = 0"), own).groupBy(F.ceil(F.col("score") / grid).alias("bin")).count().collect()
+    binned = held.groupBy(F.ceil(F.col("score") / grid).alias("bin")).count().collect()
     counts = {r.bin: r["count"] for r in binned if r.bin is not None}
     total, above = sum(counts.values()), 0
     threshold = max(counts, default=0)
@@ -169,25 +185,30 @@ def calibrated(held: DataFrame, own: Filter, false_rejects: float = FALSE_REJECT
 
 def filter_urls(
     pages: DataFrame, id_col: str = "page_id", url_col: str = "url", label_col: str = "label", order: int = ORDER,
-    least_count: int = LEAST_COUNT, max_contexts: int = MAX_CONTEXTS, false_rejects: float = FALSE_REJECTS, folds: int = FOLDS,
+    least_count: int = LEAST_COUNT, max_contexts: int | None = None, false_rejects: float = FALSE_REJECTS, folds: int = FOLDS,
 ) -> DataFrame:
     """(page_id, url, score, accepted), one row for each input row.
 
     ``label_col``: 0 for URLs known to be accepted, 1 for rejected, null for
-    the others; labelled URLs train, all are scored. A URL is accepted when
-    its score is at most the calibrated threshold, which is never below 0. A
-    null or empty URL has no score and is not accepted. Without URLs of both
-    labels nothing can be told apart: scores are 0 and URLs accepted. Null
-    ids and repeated rows pass through, long URLs are scored whole, an empty
-    table gives no rows. Other columns are not looked at.
+    the others; labelled URLs train, but for one fold of ``folds`` that only
+    calibrates, and all are scored. A URL is accepted when its score is at most
+    the calibrated threshold, which is never below 0. A null or empty URL has
+    no score and is not accepted. Without URLs of both labels nothing can be
+    told apart: scores are 0 and URLs accepted. Null ids and repeated rows pass
+    through, long URLs are scored whole, an empty table gives no rows. Other
+    columns are not looked at.
     """
     urls = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(label_col).cast("int").alias("label"))
-    labelled = urls.filter("url is not null and url <> '' and label in (0, 1)").select("url", "label")
-    accepted, rejected = fit(labelled.filter(~held_out(F.col("url"), folds)), order, least_count, max_contexts)
-    own = Filter(accepted, rejected, 0.0)
-    own.threshold = calibrated(labelled.filter(held_out(F.col("url"), folds)), own, false_rejects)
-    good = F.coalesce(F.col("score") <= own.threshold, F.lit(False))
-    return scored(urls.select("page_id", "url"), own).withColumn("accepted", good)
+    rows = written(urls.withColumn("rid", F.monotonically_increasing_id()), "urls")
+    full = rows.filter("url is not null and url <> ''")
+    calibrates = held_out(F.col("url"), folds)
+    grams = written(gram_counts(full.filter(F.col("label").isin(0, 1) & ~calibrates), order), "url-grams")
+    contexts = written(contexts_of(grams, least_count, max_contexts), "url-contexts")
+    own = scores(full, grams, contexts, order)
+    threshold = calibrated(full.filter((F.col("label") == 0) & calibrates).join(own, "rid"), false_rejects)
+    forget(grams, contexts)
+    good = F.coalesce(F.col("score") <= threshold, F.lit(False))
+    return rows.join(own, "rid", "left").select("page_id", "url", "score").withColumn("accepted", good)
 
 
 def seeded(pages: DataFrame, url_col: str = "url", seeds: tuple[str, ...] = SEEDS) -> DataFrame:

@@ -1,4 +1,5 @@
 import math
+import random
 from collections import Counter, defaultdict
 
 import pytest
@@ -81,3 +82,19 @@ def test_seeds(spark):
     urls = ["https://www.Casino-win.example.com/a", "https://casinos.example.com/pills", "https://a.pills", None]
     got = url_filter.seeded(spark.createDataFrame([(u,) for u in urls], "url string")).collect()
     assert [r.label for r in got] == [1, 0, 1, None]
+
+
+def test_contexts_beyond_any_number_are_kept(spark):
+    draw = random.Random(3)
+    urls = ["".join(draw.choices("abcdefghijklmnopqrstuvwxyz0123456789", k=40)) for _ in range(3000)]
+    rows = [(i, u, int(i % 4 == 0)) for i, u in enumerate(urls + urls)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, label int").repartition(3)
+    held = {r.url for r in pages.filter(url_filter.held_out(F.col("url"))).collect()}
+    models = [_brute_model([u for _, u, l in rows if l == k and u not in held], 5) for k in (0, 1)]
+    assert sum(sum(own.values()) >= 2 for own in models[0].values()) > 60_000
+    got = {r.page_id: r.score for r in url_filter.filter_urls(pages).collect()}
+    assert len(got) == len(rows)
+    for i, u, _ in rows[::50]:
+        padded = url_filter.START * 5 + u + url_filter.END
+        each = [_brute_log(models[1], padded[j - 5 : j], padded[j], 2) - _brute_log(models[0], padded[j - 5 : j], padded[j], 2) for j in range(5, len(padded))]
+        assert got[i] == pytest.approx(sum(each) / len(each))
