@@ -99,11 +99,11 @@ def format_chats(messages: DataFrame, conv_col: str = "conv_id", turn_col: str =
 def parts_of(conversations: DataFrame) -> DataFrame:
     """Typed parts for every row of ``conversations``: (conv_id, turn, role, content).
 
-    The table has text alone. Each line becomes a text part, and after the
-    text a turn refers to attachments by its own numbers, so that every
-    type and every order of types occurs: turns whose ``conv_id + turn`` is
-    1, 2 or 3 modulo 4 carry an image, an audio clip or a document, and
-    each fifth conversation a second image.
+    The table has text alone. Each line, with the newline that ends it,
+    becomes a text part, and after the text a turn refers to attachments by
+    its own numbers, so that every type and every order of types occurs:
+    turns whose ``conv_id + turn`` is 1, 2 or 3 modulo 4 carry an image, an
+    audio clip or a document, and each fifth conversation a second image.
     """
     k = F.col("conv_id") + F.col("turn")
     name = F.concat_ws("/", F.col("conv_id"), F.col("turn"))
@@ -116,7 +116,7 @@ def parts_of(conversations: DataFrame) -> DataFrame:
     second = part("image", ref=F.concat(F.lit("img2/"), name), width=F.lit(56), height=F.lit(56))
     audio = part("audio", ref=F.concat(F.lit("audio/"), name), seconds=(k % 9).cast("double") / 2)
     document = part("document", ref=F.concat(F.lit("doc/"), name), pages=(k % 4 + 1).cast("int"))
-    lines = F.transform(F.split(F.col("text"), "\n"), lambda line: part("text", text=line))
+    lines = F.transform(F.split(F.col("text"), r"(?<=\n)"), lambda line: part("text", text=line))
     none = F.array().cast(PART_TYPE)
     attached = F.when(k % 4 == 1, F.array(image).cast(PART_TYPE)).when(k % 4 == 2, F.array(audio).cast(PART_TYPE)).when(k % 4 == 3, F.array(document).cast(PART_TYPE)).otherwise(none)
     more = F.when(F.col("conv_id") % 5 == 0, F.array(second).cast(PART_TYPE)).otherwise(none)

@@ -52,3 +52,15 @@ def test_against_a_plain_visitor(spark):
         assert (text, attached) == want
         assert words == len(text.split()) and tokens == sum(a[3] for a in attached)
     assert chat.format_chats(table.limit(0)).count() == 0
+
+
+def test_line_breaks_of_a_turn_are_kept(spark):
+    texts = ["in thor.\nTion hein", "\n\na\n", "", None, "one line", "a\r\n\n\nb", "\n"]
+    turns = spark.createDataFrame([(4 * i, 4, "user", t) for i, t in enumerate(texts, 1)], "conv_id long, turn int, role string, text string").repartition(2)
+    parts = {r.conv_id: [p.text for p in r.content if p.type == "text"] for r in chat.parts_of(turns).collect()}
+    assert parts[4] == ["in thor.\n", "Tion hein"]
+    got = {r.conv_id: (r.text, r.text_words) for r in chat.format_chats(chat.parts_of(turns)).collect()}
+    for i, t in enumerate(texts, 1):
+        second = "<|image_1|>" if 4 * i % 5 == 0 else ""
+        want = f"<|start|>user\n{t or ''}{second}<|end|>\n"
+        assert got[4 * i] == (want, len(want.split()))
