@@ -65,7 +65,7 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query("op8_license_scan", license_scan.LICENSE_SQL)
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return license_scan.license_blocks(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return license_scan.license_blocks(spark.read.parquet(f"{sf_dir}/documents.parquet"), wrapped=True)
 
 
 @_query("op9_url_filter")

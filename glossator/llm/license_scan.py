@@ -13,13 +13,22 @@ corpus first, and three filters discard pairs that cannot reach the overlap
 
 Only tokens that some template has can be shared, so a block is represented by
 those alone. Pairs that pass are verified on the whole token sets.
+
+A licence text may also be wrapped over lines. Such passages are runs of as
+many tokens as the template has, repeated ones counted, that go over a line
+break. The prefix filter is the same: only runs around a prefix token are
+looked at, and all of these are verified.
 """
 
 from __future__ import annotations
 
 import math
+import re
+from collections import defaultdict
+from collections.abc import Iterator
 from decimal import Decimal
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -66,12 +75,76 @@ def frequencies(texts: DataFrame, vocabulary: DataFrame, rows: int) -> DataFrame
     return words.join(_small(vocabulary, rows), "token").groupBy("token").agg(F.count("*").alias("n"))
 
 
+def _passages(blocks: list[str], anchors: dict[str, list[str]], shapes: dict[str, tuple[frozenset, int, int]]) -> Iterator[tuple[int, str, int, int]]:
+    """(block_no, template, overlap, template_tokens) of the wrapped passages of one text, ``blocks`` in lower case."""
+    words, lines = [], []
+    for line, block in enumerate(blocks):
+        found = re.findall(TOKENS, block)
+        words += found
+        lines += [line] * len(found)
+    starts = defaultdict(set)
+    for i, w in enumerate(words):
+        for name in anchors.get(w, ()):
+            starts[name].update(range(max(0, i - shapes[name][1] + 1), i + 1))
+    for name in sorted(starts):
+        own, length, need = shapes[name]
+        met = []
+        for start in starts[name]:
+            both = len(own.intersection(words[start : start + length]))
+            if both >= need:
+                met.append((-both, start))
+        kept: set[int] = set()
+        for both, start in sorted(met):
+            if any(k in kept for k in range(start - length + 1, start + length)):
+                continue
+            kept.add(start)
+            shared = [lines[k] for k in range(start, min(start + length, len(words))) if words[k] in own]
+            if shared[0] < shared[-1] and not any(len(own.intersection(re.findall(TOKENS, b))) >= need for b in blocks[shared[0] : shared[-1] + 1]):
+                yield shared[0], name, -both, len(own)
+
+
+def wrapped_passages(src: DataFrame, templates: dict[str, str], prefixes: dict[str, list[str]], needs: dict[str, int], block_pattern: str) -> DataFrame:
+    """(doc_id, block_no, template, overlap, template_tokens) of ``src(doc_id, t)``: passages wrapped over blocks.
+
+    ``prefixes``: templates by prefix token. Of passages of one template that
+    overlap, the one that shares most tokens counts, the first of equals.
+    ``block_no`` is the block of its first shared token. Where a single block
+    of the passage meets the template, it is not reported again.
+    """
+    cut = {name: re.findall(TOKENS, templates[name].lower()) for name in needs}
+    held = src.sparkSession.sparkContext.broadcast((prefixes, {name: (frozenset(own), len(own), needs[name]) for name, own in cut.items()}))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        anchors, shapes = held.value
+        for batch in batches:
+            at, rows = [], []
+            for k, blocks in enumerate(batch.column("blocks").to_pylist()):
+                for row in _passages(blocks, anchors, shapes):
+                    at.append(k)
+                    rows.append(row)
+            number, name, both, size = zip(*rows) if rows else ((),) * 4
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id").take(pa.array(at, pa.int64())), pa.array(number, pa.int32()), pa.array(name, pa.string()), pa.array(both, pa.int32()), pa.array(size, pa.int32())],
+                names=["doc_id", "block_no", "template", "overlap", "template_tokens"],
+            )
+
+    some = src.filter("t is not null")
+    if len(prefixes) <= LITERAL:
+        some = some.filter(F.arrays_overlap(tokens(F.col("t")), F.array(*(F.lit(w) for w in sorted(prefixes)))))
+    blocks = some.select("doc_id", F.transform(F.split("t", block_pattern, -1), F.lower).alias("blocks")).filter(F.size("blocks") > 1)
+    kind = src.schema["doc_id"].dataType.simpleString()
+    return blocks.mapInArrow(run, f"doc_id {kind}, block_no int, template string, overlap int, template_tokens int")
+
+
 def license_blocks(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: dict[str, str] | None = None,
-    threshold: float = THRESHOLD, block_pattern: str = BLOCKS,
+    threshold: float = THRESHOLD, block_pattern: str = BLOCKS, wrapped: bool = False,
 ) -> DataFrame:
     """(doc_id, block_no, template, overlap, template_tokens): every block that meets a template.
 
+    ``wrapped``: also passages that go over the ends of blocks, however many
+    (see :func:`wrapped_passages`).
+
     ``block_no`` counts the blocks of the text from 0, empty ones too. A block
     may meet several templates, equal templates are each reported, and of
     repeated rows each is. A null or empty text has no tokens and meets
@@ -93,6 +166,7 @@ def license_blocks(
     vocabulary = spark.createDataFrame([(w,) for w in every], "token string")
     seen = {r.token: r.n for r in frequencies(src, vocabulary, len(every)).collect()}
     rank = {w: k for k, w in enumerate(sorted(every, key=lambda w: (seen.get(w, 0), w)))}
+    by_rank = list(rank)
     prefixes, whole = [], []
     for name, own in sets.items():
         order = sorted(rank[w] for w in own)
@@ -117,7 +191,13 @@ def license_blocks(
     first = shared.groupBy("rid", "block_no", "template").agg(F.min(F.struct("j", possible.alias("ok"))).alias("at"), F.first("doc_id", ignorenulls=True).alias("doc_id"), F.first("ranks").alias("ranks"))
     pairs = first.filter("at.ok").join(sizes, "template")
     met = pairs.withColumn("overlap", F.size(F.array_intersect("ranks", "own"))).filter("overlap >= need")
-    return met.select("doc_id", "block_no", "template", "overlap", F.col("size").alias("template_tokens"))
+    single = met.select("doc_id", "block_no", "template", "overlap", F.col("size").alias("template_tokens"))
+    if not wrapped:
+        return single
+    anchors = defaultdict(list)
+    for place, name, *_ in prefixes:
+        anchors[by_rank[place]].append(name)
+    return single.unionByName(wrapped_passages(src, templates, dict(anchors), {name: need for name, _, need, _ in whole}, block_pattern))
 
 
 def _literal(text: str) -> str:

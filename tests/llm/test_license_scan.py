@@ -50,3 +50,32 @@ def test_needed_is_the_least_overlap():
         for size in range(1, 200):
             need = license_scan.needed(size, threshold)
             assert need >= threshold * size - 1e-9 and (need == 1 or need - 1 < threshold * size - 1e-9)
+
+
+MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal"""
+ISC = """ * Permission to use, copy, modify, and/or distribute this software for any
+ *
+ * purpose with or without fee is hereby granted, provided that the above"""
+MPL = """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this"""
+
+
+def test_wrapped_texts_are_found(spark):
+    one_each = "\n".join(license_scan.TEMPLATES["bsd-conditions"].split())
+    rows = [(1, MIT), (2, "Copyright\n\n" + ISC + "\n" + MPL), (3, one_each), (None, "x\n" + one_each + "\nmore"), (5, "All of us\nhave some other rights, which the\nowner reserved"), (6, "All rights reserved.\nAll rights reserved."), (7, None), (8, "all rights\nreserved all\nrights reserved")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted(map(tuple, license_scan.license_blocks(docs, wrapped=True).collect()), key=repr)
+    size = {k: len(set(re.findall("[a-z0-9]+", v.lower()))) for k, v in license_scan.TEMPLATES.items()}
+    want = [(1, 0, "mit-grant"), (2, 2, "isc-grant"), (2, 5, "mpl-2.0"), (3, 0, "bsd-conditions"), (None, 1, "bsd-conditions"), (6, 0, "reserved"), (6, 1, "reserved"), (8, 0, "reserved"), (8, 1, "reserved")]
+    assert got == sorted([(i, n, t, size[t], size[t]) for i, n, t in want], key=repr)
+
+
+def test_each_template_is_found_wherever_it_breaks(spark):
+    rows = []
+    for name, body in license_scan.TEMPLATES.items():
+        words = body.split()
+        rows += [(f"{name}:{k}", "before it\n" + " ".join(words[:k]) + "\n" + " ".join(words[k:]) + " and after") for k in range(1, len(words))]
+    docs = spark.createDataFrame(rows, "doc_id string, text string").repartition(3)
+    found = {(r.doc_id, r.template) for r in license_scan.license_blocks(docs, wrapped=True).collect()}
+    assert all((i, i.split(":")[0]) in found for i, _ in rows)
