@@ -26,7 +26,7 @@ def tasks(records: DataFrame) -> dict[str, DataFrame]:
     }
 
 
-def features(examples: DataFrame, text: str | Column = "text", dimension: int = 1 << 16) -> DataFrame:
+def features(examples: DataFrame, text: str | Column = "text", dimension: int = 1 << 18) -> DataFrame:
     """``examples`` with the column features, sparse vectors of unit length."""
     from pyspark.ml.feature import CountVectorizerModel, HashingTF, Normalizer  # noqa: F401
 
@@ -48,7 +48,7 @@ def metrics(predicted: DataFrame) -> DataFrame:
     )
 
 
-def probe(examples: DataFrame, train_split: str = "train", dimension: int = 1 << 16, iterations: int = 20) -> tuple[list, str | None]:
+def probe(examples: DataFrame, train_split: str = "train", dimension: int = 1 << 18, iterations: int = 20) -> tuple[list, str | None]:
     """(metric rows of the other splits, None), or ([], reason) where nothing can be measured."""
     from pyspark.ml.classification import LogisticRegression, OneVsRest
 
@@ -64,7 +64,7 @@ def probe(examples: DataFrame, train_split: str = "train", dimension: int = 1 <<
         return [], "no other split has two classes"
     names = sorted({r.target for r in counts})
     place = F.array_position(F.array(*map(F.lit, names)), F.col("target")) - 1
-    ready = features(examples).withColumn("label", place.cast("double"))
+    ready = features(examples, dimension=dimension).withColumn("label", place.cast("double"))
     base = LogisticRegression(maxIter=iterations, regParam=1e-4)
     model = (base if len(names) == 2 else OneVsRest(classifier=base)).fit(ready.filter(F.col("split") == train_split))
     told = model.transform(ready.filter(F.col("split").isin(usable)))

@@ -214,8 +214,11 @@ def q28_threshold_strictness(spark, sf_dir):
 @_query
 def q30_probe_metrics(spark, sf_dir):
     names = ("accuracy", "balanced_accuracy", "macro_f1", "majority_baseline", "balanced_baseline")
-    rows, _ = probe.probe(probe.tasks(records(spark, sf_dir))["value_label"])
-    return spark.createDataFrame([(r.split, n, float(r[n])) for r in rows for n in names], "split string, metric string, value double")
+    found = []
+    for task, examples in probe.tasks(records(spark, sf_dir)).items():
+        rows, _ = probe.probe(examples)
+        found += [(task, r.split, n, float(r[n])) for r in rows for n in names]
+    return spark.createDataFrame(found, "task string, split string, metric string, value double")
 
 
 @_query

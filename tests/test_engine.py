@@ -215,3 +215,22 @@ def test_stream_flags_what_the_table_scan_flags(spark, tmp_path):
     query = scan.scan(scan.record_stream(spark, str(folder)), str(tmp_path / "out"), str(tmp_path / "check"))
     query.awaitTermination(60)
     assert [r.case_id for r in spark.read.parquet(str(tmp_path / "out")).collect()] == ["1"]
+
+
+def test_probe_query_has_all_tasks(spark, monkeypatch):
+    from glossator.operators import probe
+    from glossator.plans import catalogue
+
+    rec = "split string, kind string, text string, annotations array<struct<entity_type: string, start: int, end: int, text: string>>"
+    rows = []
+    for split in ("train", "eval"):
+        for i in range(24):
+            label, value = (("EMAIL", f"a{i}@b.example"), ("PHONE", f"555-01{i:02d}"))[i % 2]
+            lead = ("mail to ", "call at ")[i % 2]
+            noted = [(label, len(lead), len(lead) + len(value), value)] if i % 3 else []
+            rows.append((split, "positive" if noted else "negative", lead + value if noted else f"nothing is here {i}", noted))
+    table = spark.createDataFrame(rows, rec)
+    monkeypatch.setattr(catalogue, "records", lambda *_: table)
+    got = catalogue.QUERIES["q30_probe_metrics"](spark, "").collect()
+    assert {(r.task, r.split) for r in got} == {(t, "eval") for t in ("kind", "value_label", "context_label")} and len(got) == 15
+    assert probe.features(table.limit(1)).first().features.size == 1 << 18
