@@ -1,53 +1,12 @@
-"""Shared folder for intermediate tables, and small helpers of the operators.
-
-Intermediate results that are read more than once, or that end a loop's step,
-are written as Parquet below the folder that the cluster names in
-``spark.checkpoint.dir``. They survive the loss of executors and cut lineage.
-"""
+"""Small helpers of the operators; intermediate tables are those of ``glossator.sources.intermediate``."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-_LOCAL: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; a temporary one only where that is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if found:
-        return found
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    key = spark.sparkContext.applicationId
-    if key not in _LOCAL:
-        _LOCAL[key] = "file://" + tempfile.mkdtemp(prefix="glossator-")
-    return _LOCAL[key]
-
-
-def written(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` below the shared folder and return the reread table."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    again = spark.read.schema(df.schema).parquet(path)
-    again._glossator_path = path
-    return again
-
-
-def forget(*tables: DataFrame) -> None:
-    """Delete tables made by :func:`written` that no later plan reads."""
-    for table in tables:
-        path = getattr(table, "_glossator_path", None)
-        if path:
-            spark = table.sparkSession
-            jvm = spark.sparkContext._jvm
-            target = jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+from glossator.sources.intermediate import forget, settled  # noqa: F401
+from glossator.sources.intermediate import stored as written  # noqa: F401
 
 
 def words_of(text: Column) -> Column:
@@ -55,14 +14,6 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
 
 
-def same_row(left: DataFrame, right: DataFrame, keys: list[str]) -> Column:
-    """Null-safe equality of the named columns, which Spark runs as an equi-join."""
-    found = F.lit(True)
-    for key in keys:
-        found = found & left[key].eqNullSafe(right[key])
-    return found
-
-
 def keep_rows(docs: DataFrame, kept: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Rows of ``docs`` whose (id, text hash) is in ``kept(doc_id, text_hash)``, one row for each.
 

@@ -3,22 +3,34 @@
 The distinct words of a text vote on a fingerprint of two 64-bit lanes. Two
 texts are near-duplicates when the first lanes differ in at most ``radius``
 bits and the second in at most ``second_radius``. The second lane has votes of
-its own and keeps apart texts whose first lanes are close by chance.
+its own and keeps apart texts whose first lanes are close by chance. Votes of
+few words are coarse, so two texts with at most ``SMALL`` distinct words
+together must also have a word-set Jaccard of ``least_jaccard``, as estimated
+by an odd sketch of 128 bits (the parity of the words that hash to a bit, so
+that the exclusive or of two sketches tells how many words only one has).
 
 Search is exact. A first lane is four blocks of 16 bits. Of two lanes within
 ``radius``, some block differs in at most ``radius // 4`` bits. Fingerprints
-are therefore sharded by block and by the block's leading ``shard_bits``. A
-BK-tree over the shard keys, whose size is bounded by ``2**shard_bits`` and
-does not grow with the data, is broadcast and routes each fingerprint to the
-shards within the block radius. In each shard a second BK-tree over the block
-values finds, along edges within the radius, the members to compare in full.
-Broadcasting the shards' own trees would mean broadcasting the corpus; they
-are built where their members are instead.
+are therefore sharded by block and by the block's leading bits, more of them
+the more fingerprints there are. A BK-tree over the shard keys, whose size is
+bounded by ``2**16`` and does not grow with the data, is broadcast and routes
+each fingerprint to the shards within the block radius. In each shard a second
+BK-tree over the block values finds, along edges within the radius, the
+members to compare in full; where one value has many members, BK-trees over
+the values of the other blocks narrow them down first (three blocks that
+differ in ``radius`` bits have one within ``radius // 3``). Broadcasting the
+shards' own trees would mean broadcasting the corpus; they are built where
+their members are instead.
+
+How many fingerprints a shard gets is counted beforehand. A shard with more
+than ``group_rows`` is split into a grid of those that ask and those that are
+members, so that no task holds more than that, and no pair is lost.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -30,9 +42,14 @@ from .common import forget, keep_rows, words_of, written
 
 RADIUS = 11
 SECOND_RADIUS = 14
-SHARD_BITS = 6
-_BLOCKS, _BLOCK_BITS = 4, 16
+LEAST_JACCARD = 0.6
+#: Two texts with so many distinct words in all are also held by their sketches; of larger sets 128 bits say little.
+SMALL = 128
+GROUP_ROWS = 2_000_000
+_BLOCKS, _BLOCK_BITS, _LEAST_BITS = 4, 16, 6
 _SLICE = 1 << 18
+_MEMBER, _ASKS = 1, 2
+_NODE = "f1 long, f2 long, s1 long, s2 long, words int"
 
 
 def mixed(values: np.ndarray) -> np.ndarray:
@@ -71,69 +88,130 @@ def fingerprints_of(values: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray
     return lanes[0], lanes[1]
 
 
+def sketches_of(values: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two words of an odd sketch for each run of distinct values: bit k is the parity of the values that hash to it."""
+    bit = mixed(mixed(values)) >> np.uint64(57)
+    one = np.uint64(1) << (bit & np.uint64(63))
+    halves = []
+    for half in range(2):
+        own = np.where((bit >> np.uint64(6)) == half, one, np.uint64(0))
+        halves.append(np.bitwise_xor.reduceat(own, offsets[:-1]) if len(offsets) > 1 else np.empty(0, np.uint64))
+    return halves[0], halves[1]
+
+
+def sketch_jaccard(odd: np.ndarray, total: np.ndarray) -> np.ndarray:
+    """Jaccard of two sets with ``total`` members in all whose sketches differ in ``odd`` bits of 128."""
+    apart = np.minimum(-64 * np.log(np.maximum(1 - odd / 64, 1e-9)), total)
+    return (total - apart) / (total + apart)
+
+
 def _lanes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        lists = batch.column("words")
-        offsets = np.asarray(lists.offsets, dtype=np.int64)
-        flat = np.asarray(lists.values)[offsets[0] : offsets[-1]].view(np.uint64)
-        f1, f2 = fingerprints_of(flat, offsets - offsets[0]) if batch.num_rows else (np.empty(0, np.uint64),) * 2
+        lists = batch.column("w")
+        where = np.asarray(lists.offsets, dtype=np.int64)
+        flat = np.asarray(lists.values)[where[0] : where[-1]].view(np.uint64)
+        offsets = where - where[0]
+        sizes = np.diff(offsets)
+        some = np.flatnonzero(sizes)
+        columns = [np.zeros(batch.num_rows, dtype=np.uint64) for _ in range(4)]
+        if len(some):
+            own = np.r_[offsets[:-1][some], offsets[-1]]
+            for column, found in zip(columns, (*fingerprints_of(flat, own), *sketches_of(flat, own))):
+                column[some] = found
+        none = sizes == 0
         yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), batch.column("text_hash"), pa.array(f1.view(np.int64)), pa.array(f2.view(np.int64))],
-            names=["doc_id", "text_hash", "f1", "f2"],
+            [batch.column("doc_id"), batch.column("text_hash"), *(pa.array(c.view(np.int64), mask=none) for c in columns), pa.array(sizes.astype(np.int32), mask=none)],
+            names=["doc_id", "text_hash", "f1", "f2", "s1", "s2", "words"],
         )
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, text_hash, f1, f2) for the rows that have an id and at least one word."""
-    src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("t"))
-    hashed = src.filter("doc_id is not null and t is not null").select(
-        "doc_id", F.xxhash64("t").alias("text_hash"), F.transform(F.array_distinct(words_of(F.col("t"))), lambda w: F.xxhash64(w)).alias("words")
-    )
-    return hashed.filter(F.size("words") > 0).mapInArrow(_lanes, "doc_id long, text_hash long, f1 long, f2 long")
-
-
-def _router(tree, radius: int, shard_bits: int):
-    shift = np.uint64(_BLOCK_BITS - shard_bits)
+    """(doc_id, text_hash, f1, f2, s1, s2, words) of each row; the last five are null without an id or a word."""
+    src = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("t"))
+    some = F.when(F.col("doc_id").isNotNull() & F.col("t").isNotNull(), F.col("t")).otherwise(F.lit(""))
+    hashed = src.select("doc_id", F.xxhash64("t").alias("text_hash"), F.transform(F.array_distinct(words_of(some)), lambda w: F.xxhash64(w)).alias("w"))
+    return hashed.mapInArrow(_lanes, f"doc_id {src.schema['doc_id'].dataType.simpleString()}, text_hash long, {_NODE}")
+
+
+class Layout:
+    """Where fingerprints meet: the shards of each block, and the grid that a crowded shard is split into."""
+
+    def __init__(self, counts: np.ndarray, radius: int, group_rows: int):
+        """``counts``: fingerprints by block and 16-bit value."""
+        self.radius, total = radius // _BLOCKS, int(counts[0].sum())
+        bits = _LEAST_BITS
+        while bits < _BLOCK_BITS and total * (sum(comb(bits, k) for k in range(self.radius + 1)) + 1) / 2 / 2**bits > group_rows:
+            bits += 1
+        self.bits = bits
+        keys = np.arange(1 << bits)
+        asked, met = BKTree(keys).within(keys, self.radius)
+        met = met.astype(np.int64)
+        order = np.lexsort((met, asked))
+        self.met, own = met[order], asked[order]
+        self.begins = np.r_[0, np.cumsum(np.bincount(own, minlength=len(keys)))]
+        half = max(1, group_rows // 2)
+        self.members, self.askers = np.ones((_BLOCKS, len(keys)), np.int64), np.ones((_BLOCKS, len(keys)), np.int64)
+        for block in range(_BLOCKS):
+            held = counts[block].reshape(1 << bits, -1).sum(axis=1)
+            ahead = self.met >= own
+            asking = np.bincount(self.met[ahead], weights=held[own[ahead]], minlength=len(keys))
+            self.members[block] = np.maximum(1, -(-held // half))
+            self.askers[block] = np.maximum(1, np.ceil(asking / half).astype(np.int64))
+
+
+def _router(layout):
+    names = ("f1", "f2", "s1", "s2", "words", "node")
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys = np.arange(1 << shard_bits, dtype=np.uint64)
-        asked, met = tree.value.within(keys, radius)
-        order = np.argsort(asked, kind="stable")
-        met, counts = met[order], np.bincount(asked, minlength=len(keys))
-        begins = np.r_[0, np.cumsum(counts)]
+        plan: Layout = layout.value
+        counts, shift = np.diff(plan.begins), np.uint64(_BLOCK_BITS - plan.bits)
         for whole in batches:
             # Slices keep the fan-out of one piece small.
             for lo in range(0, whole.num_rows, 4096):
                 batch = whole.slice(lo, 4096)
                 f1 = np.asarray(batch.column("f1")).view(np.uint64)
-                shard, row, own = [], [], []
+                spread = mixed(np.asarray(batch.column("node")).view(np.uint64))
+                shard, cell, role, row = [], [], [], []
                 for block in range(_BLOCKS):
                     value = (f1 >> np.uint64(block * _BLOCK_BITS)) & np.uint64(0xFFFF)
                     prefix = (value >> shift).astype(np.int64)
                     each = counts[prefix]
                     rows = np.repeat(np.arange(len(f1)), each)
                     inside = np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)
-                    target = met[np.repeat(begins[prefix], each) + inside].astype(np.int64)
-                    home = prefix[rows]
-                    ahead = target >= home  # of two shards, the later one compares
-                    shard.append((block << shard_bits) | target[ahead])
-                    row.append(rows[ahead])
-                    own.append(target[ahead] == home[ahead])
-                rows = np.concatenate(row)
+                    target = plan.met[np.repeat(plan.begins[prefix], each) + inside]
+                    ahead = target >= prefix[rows]  # of two shards, the later one compares
+                    rows, target = rows[ahead], target[ahead]
+                    own = target == prefix[rows]
+                    m, a = plan.members[block][target], plan.askers[block][target]
+                    my_m, my_a = (spread[rows] % m.astype(np.uint64)).astype(np.int64), ((spread[rows] >> np.uint64(32)) % a.astype(np.uint64)).astype(np.int64)
+                    # A row asks in all columns of its line of the grid; a member also stands in all lines of its column.
+                    at = np.repeat(np.arange(len(rows)), m)
+                    column = np.arange(len(at)) - np.repeat(np.cumsum(m) - m, m)
+                    flags = np.where(own[at] & (column == my_m[at]), _ASKS | _MEMBER, _ASKS)
+                    parts = [(at, my_a[at] * m[at] + column, flags)]
+                    if (a[own] > 1).any():
+                        lines = np.where(own, a, 0)
+                        at = np.repeat(np.arange(len(rows)), lines)
+                        line = np.arange(len(at)) - np.repeat(np.cumsum(lines) - lines, lines)
+                        at, line = at[line != my_a[at]], line[line != my_a[at]]
+                        parts.append((at, line * m[at] + my_m[at], np.full(len(at), _MEMBER)))
+                    for at, where, flags in parts:
+                        shard.append((block << plan.bits) | target[at])
+                        cell.append(where)
+                        role.append(flags)
+                        row.append(rows[at])
+                rows = pa.array(np.concatenate(row))
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.concatenate(shard).astype(np.int32)), pa.array(np.concatenate(own)),
-                        *(pa.array(np.asarray(batch.column(c))[rows]) for c in ("f1", "f2", "node")),
-                    ],
-                    names=["shard", "own", "f1", "f2", "node"],
+                    [pa.array(np.concatenate(x).astype(np.int32)) for x in (shard, cell, role)] + [batch.column(c).take(rows) for c in names],
+                    names=["shard", "cell", "role", *names],
                 )
 
-    return route
+    return route, f"shard int, cell int, role int, {_NODE}, node long"
 
 
-def _roots(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
-    """The smallest member of each point's component, for points 0..n-1 and edges (a, b)."""
-    label = np.arange(n)
+def _roots(a: np.ndarray, b: np.ndarray, n: int, label: np.ndarray | None = None) -> np.ndarray:
+    """The smallest member of each point's component, for points 0..n-1, edges (a, b) and what is known before."""
+    label = np.arange(n) if label is None else label
     while True:
         low = np.minimum(label[a], label[b])
         new = label.copy()
@@ -147,57 +225,97 @@ def _roots(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
         label = new
 
 
-def _searcher(radius: int, second_radius: int, shard_bits: int):
-    block_radius = radius // _BLOCKS
-    chunk = 1 << 20
+class _Search:
+    """Compares what has met in one cell of a shard: links of each row, and the components."""
+
+    def __init__(self, group: pa.Table, bits: int, radius: int, second_radius: int, least_jaccard: float):
+        order = np.argsort(np.asarray(group.column("node")), kind="stable")
+        take = lambda c: np.asarray(group.column(c))[order]
+        self.node, self.role, self.words = take("node"), take("role"), take("words").astype(np.int64)
+        self.f1, self.f2, self.s1, self.s2 = (take(c).view(np.uint64) for c in ("f1", "f2", "s1", "s2"))
+        self.block = int(group.column("shard")[0].as_py()) >> bits
+        shift = np.uint64(_BLOCK_BITS - bits)
+        home = int(group.column("shard")[0].as_py()) & ((1 << bits) - 1)
+        self.own = (self.value(self.block) >> shift).astype(np.int64) == home
+        self.radius, self.second_radius, self.least = radius, second_radius, least_jaccard
+        self.label, self.links = np.arange(len(self.node)), np.zeros(len(self.node), np.int64)
+        self.waiting: list[tuple[np.ndarray, np.ndarray]] = []
+        self.held = 0
+
+    def value(self, block: int) -> np.ndarray:
+        return (self.f1 >> np.uint64(block * _BLOCK_BITS)) & np.uint64(0xFFFF)
+
+    def run(self) -> pa.Table:
+        asks, members = np.flatnonzero(self.role & _ASKS), np.flatnonzero(self.role & _MEMBER)
+        if len(asks) and len(members):
+            self.narrowed(asks, members, [b for b in range(_BLOCKS) if b != self.block], self.block, [(b, self.radius // _BLOCKS) for b in range(self.block)], self.radius // _BLOCKS)
+        self.fold()
+        some = np.flatnonzero(self.links)
+        # One edge to the smallest member says as much about components as all pairs.
+        return pa.table({"a": self.node[self.label[some]], "b": self.node[some], "links": self.links[some]})
 
-    def search(group: pa.Table) -> pa.Table:
-        node = np.asarray(group.column("node"))
-        order = np.argsort(node, kind="stable")
-        node = node[order]
-        f1 = np.asarray(group.column("f1"))[order].view(np.uint64)
-        f2 = np.asarray(group.column("f2"))[order].view(np.uint64)
-        own = np.asarray(group.column("own"))[order]
-        block = int(group.column("shard")[0].as_py()) >> shard_bits
-        value = (f1 >> np.uint64(block * _BLOCK_BITS)) & np.uint64(0xFFFF)
-        members = np.flatnonzero(own)
+    def narrowed(self, asks: np.ndarray, members: np.ndarray, rest: list[int], block: int, before: list[tuple[int, int]], radius: int) -> None:
+        """Pairs within ``radius`` in a block; those also within it in a block of ``before`` are met there."""
+        value = self.value(block)
         members = members[np.argsort(value[members], kind="stable")]
+        asks = asks[np.argsort(value[asks], kind="stable")]
         held, first, size = np.unique(value[members], return_index=True, return_counts=True)
-        asked, inverse = np.unique(value, return_inverse=True)
-        at, met = BKTree(held).within(asked, block_radius)
-        by_value = np.argsort(inverse, kind="stable")
-        who_first = np.r_[0, np.cumsum(np.bincount(inverse, minlength=len(asked)))]
+        asked, ask_first, ask_size = np.unique(value[asks], return_index=True, return_counts=True)
+        at, met = BKTree(held).within(asked, radius)
         slot = np.searchsorted(held, met)
-        sizes_q, sizes_m = np.diff(who_first)[at], size[slot]
-        edges_a, edges_b = [], []
-        # Every (asking value, held value) match opens a rectangle of candidate pairs.
-        lo = 0
-        work = np.cumsum(sizes_q * sizes_m)
-        while lo < len(at):
-            base = work[lo - 1] if lo else 0
-            hi = max(lo + 1, int(np.searchsorted(work, base + chunk, side="right")))
-            rect_q, rect_m = sizes_q[lo:hi], sizes_m[lo:hi]
-            area = rect_q * rect_m
-            rect = np.repeat(np.arange(hi - lo), area)
-            step = np.arange(len(rect)) - np.repeat(np.cumsum(area) - area, area)
-            q = by_value[who_first[at[lo:hi]][rect] + step // rect_m[rect]]
-            m = members[first[slot[lo:hi]][rect] + step % rect_m[rect]]
-            good = (q < m) | ~own[q]
-            q, m = q[good], m[good]
-            near = np.bitwise_count(f1[q] ^ f1[m]) <= radius
-            q, m = q[near], m[near]
-            near = np.bitwise_count(f2[q] ^ f2[m]) <= second_radius
-            edges_a.append(q[near])
-            edges_b.append(m[near])
+        area = ask_size[at] * size[slot]
+        order = np.argsort(area, kind="stable")
+        at, slot, area = at[order], slot[order], area[order]
+        # Small rectangles of candidate pairs are compared many at a time, large ones are cut by another block first.
+        many = int(np.searchsorted(area, 1 << 22)) if rest else len(area)
+        done, lo = np.cumsum(area), 0
+        while lo < many:
+            base = done[lo - 1] if lo else 0
+            hi = min(many, max(lo + 1, int(np.searchsorted(done, base + (1 << 20), side="right"))))
+            if area[lo] > 1 << 20:
+                q0, m0, k = ask_first[at[lo]], first[slot[lo]], size[slot[lo]]
+                step = max(1, (1 << 20) // k)
+                for c in range(0, ask_size[at[lo]], step):
+                    own = asks[q0 + c : q0 + min(c + step, ask_size[at[lo]])]
+                    self.compare(np.repeat(own, k), np.tile(members[m0 : m0 + k], len(own)), before)
+                lo += 1
+                continue
+            part = area[lo:hi]
+            rect = np.repeat(np.arange(hi - lo), part)
+            step = np.arange(len(rect)) - np.repeat(np.cumsum(part) - part, part)
+            wide = size[slot[lo:hi]][rect]
+            self.compare(asks[ask_first[at[lo:hi]][rect] + step // wide], members[first[slot[lo:hi]][rect] + step % wide], before)
             lo = hi
-        a = np.concatenate(edges_a) if edges_a else np.empty(0, np.int64)
-        b = np.concatenate(edges_b) if edges_b else np.empty(0, np.int64)
-        # One edge to the smallest member says as much about components as all pairs.
-        root = _roots(a, b, len(node))
-        moved = np.flatnonzero(root != np.arange(len(node)))
-        return pa.table({"a": node[root[moved]], "b": node[moved]})
-
-    return search
+        for k in range(many, len(area)):
+            own, whom = asks[ask_first[at[k]] : ask_first[at[k]] + ask_size[at[k]]], members[first[slot[k]] : first[slot[k]] + size[slot[k]]]
+            for n, other in enumerate(rest):
+                self.narrowed(own, whom, [], other, before + [(b, self.radius // len(rest)) for b in rest[:n]], self.radius // len(rest))
+
+    def compare(self, q: np.ndarray, m: np.ndarray, before: list[tuple[int, int]]) -> None:
+        """Count and keep the near ones among pairs of rows."""
+        near = np.bitwise_count(self.f1[q] ^ self.f1[m]) <= self.radius
+        q, m = q[near], m[near]
+        near = (np.bitwise_count(self.f2[q] ^ self.f2[m]) <= self.second_radius) & ((q < m) | (~self.own[q] & (q != m)))
+        q, m = q[near], m[near]
+        near = np.ones(len(q), dtype=bool)
+        apart = self.f1[q] ^ self.f1[m]
+        for block, radius in before:
+            near &= np.bitwise_count((apart >> np.uint64(block * _BLOCK_BITS)) & np.uint64(0xFFFF)) > radius
+        total = self.words[q] + self.words[m]
+        odd = np.bitwise_count(self.s1[q] ^ self.s1[m]).astype(np.int64) + np.bitwise_count(self.s2[q] ^ self.s2[m])
+        near &= (total > SMALL) | (sketch_jaccard(odd, total) >= self.least)
+        q, m = q[near], m[near]
+        if len(q):
+            self.links += np.bincount(q, minlength=len(self.node)) + np.bincount(m, minlength=len(self.node))
+            self.waiting.append((q, m))
+            self.held += len(q)
+            if self.held > 1 << 21:
+                self.fold()
+
+    def fold(self) -> None:
+        if self.waiting:
+            self.label = _roots(np.concatenate([q for q, _ in self.waiting]), np.concatenate([m for _, m in self.waiting]), len(self.node), self.label)
+            self.waiting, self.held = [], 0
 
 
 def _components(edges: DataFrame) -> DataFrame:
@@ -230,55 +348,72 @@ def _components(edges: DataFrame) -> DataFrame:
 
 
 def near_groups(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-    radius: int = RADIUS, second_radius: int = SECOND_RADIUS, shard_bits: int = SHARD_BITS,
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, second_radius: int = SECOND_RADIUS,
+    least_jaccard: float = LEAST_JACCARD, group_rows: int = GROUP_ROWS,
 ) -> DataFrame:
-    """(doc_id, text_hash, kept_id) for the rows that have a fingerprint."""
-    if not 0 <= radius < 64 or not 1 <= shard_bits <= _BLOCK_BITS:
-        raise ValueError("radius must be in 0..63 and shard_bits in 1..16")
+    """(doc_id, text_hash, kept_id, links), one row for each input row."""
+    if not 0 <= radius < 64:
+        raise ValueError("radius must be in 0..63")
     spark = docs.sparkSession
     prints = written(fingerprints(docs, id_col, text_col), "fingerprints")
-    nodes = written(prints.groupBy("f1", "f2").agg(F.min("doc_id").alias("node")), "nodes")
-    tree = spark.sparkContext.broadcast(BKTree(np.arange(1 << shard_bits)))
-    routed = nodes.mapInArrow(_router(tree, radius // _BLOCKS, shard_bits), "shard int, own boolean, f1 long, f2 long, node long")
-    edges = written(routed.groupBy("shard").applyInArrow(_searcher(radius, second_radius, shard_bits), "a long, b long"), "edges")
-    # An id may carry several texts; it then links their groups.
-    roots = _components(edges.filter("a <> b").distinct())
-    placed = nodes.join(roots, "node", "left").select("f1", "f2", F.coalesce("root", "node").alias("kept_id"))
-    return prints.join(placed, ["f1", "f2"]).select("doc_id", "text_hash", "kept_id")
+    key = ["f1", "f2", "s1", "s2", "words"]
+    # A node is a fingerprint, not an id: unlike texts of one id stay apart.
+    nodes = written(prints.filter("f1 is not null").groupBy(*key).agg(F.min("doc_id").alias("least"), F.count("*").alias("rows")).withColumn("node", F.monotonically_increasing_id()), "nodes")
+    each = F.array(*(F.shiftrightunsigned("f1", b * _BLOCK_BITS).bitwiseAND(F.lit(0xFFFF)) for b in range(_BLOCKS)))
+    counts = np.zeros((_BLOCKS, 1 << _BLOCK_BITS), dtype=np.int64)
+    for r in nodes.select(F.posexplode(each).alias("block", "value")).groupBy("block", "value").count().collect():
+        counts[r.block, r.value] = r["count"]
+    layout = Layout(counts, radius, group_rows)
+    route, shape = _router(spark.sparkContext.broadcast(layout))
+    bits = layout.bits
+
+    def search(group: pa.Table) -> pa.Table:
+        return _Search(group, bits, radius, second_radius, least_jaccard).run()
+
+    routed = nodes.select(*key, "node").mapInArrow(route, shape)
+    found = written(routed.groupBy("shard", "cell").applyInArrow(search, "a long, b long, links long"), "edges")
+    roots = _components(found.filter("a <> b").select("a", "b").distinct())
+    linked = found.groupBy(F.col("b").alias("node")).agg(F.sum("links").alias("links"))
+    own = nodes.join(linked, "node", "left").join(roots, "node", "left").filter("rows > 1 or links is not null")
+    placed = written(own.select(*key, "least", F.coalesce("root", "node").alias("root"), F.coalesce("links", F.lit(0)).alias("links")), "classes")
+    forget(found, nodes)
+    kept = placed.groupBy("root").agg(F.min("least").alias("kept_id"))
+    # Only fingerprints with a link or several rows are looked up.
+    classes = placed.join(kept, "root").select(*(F.col(c).alias(f"n_{c}") for c in key), "kept_id", "links")
+    met = prints.join(classes, [prints[c] == classes[f"n_{c}"] for c in key], "left")
+    return met.select("doc_id", "text_hash", F.coalesce("kept_id", "doc_id").alias("kept_id"), F.coalesce("links", F.lit(0)).cast("long").alias("links"))
 
 
 def near_duplicates(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-    radius: int = RADIUS, second_radius: int = SECOND_RADIUS, shard_bits: int = SHARD_BITS,
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, second_radius: int = SECOND_RADIUS,
+    least_jaccard: float = LEAST_JACCARD, group_rows: int = GROUP_ROWS,
 ) -> DataFrame:
-    """(doc_id, kept_id, is_copy), one row for each input row.
-
-    ``kept_id`` is the smallest id of the row's group: the connected component
-    of the near-duplicate relation. ``is_copy`` is false where the row's id is
-    that id. Texts with the same words, in any order and number, are at
-    distance 0; repeated rows are in the same group. A row with a null id, a
-    null text or a text without any letter or digit is not compared: it keeps
-    its own id and is no copy. Very long texts are fingerprinted whole. An
-    empty table gives no rows. Other columns are not looked at.
+    """(doc_id, kept_id, links, is_copy), one row for each input row.
+
+    ``kept_id`` names the row's class and is its smallest id; a class is a
+    connected component of the near-duplicate relation. ``links`` is the number
+    of other fingerprints that the row's own is near to; copies, which share a
+    fingerprint, are no links. ``is_copy`` is false where the row's id is
+    ``kept_id``, so for each of several rows that repeat the kept one. Texts
+    with the same words, in any order and number, are at distance 0. Unlike
+    texts of one id are in classes of their own, which that id may both name.
+    A row with a null id, a null text or a text without any letter or digit is
+    not compared: it keeps its own id and is no copy. Very long texts are
+    fingerprinted whole. An empty table gives no rows. Ids may be of any type
+    with an order. Other columns are not looked at.
     """
-    groups = near_groups(docs, id_col, text_col, radius, second_radius, shard_bits).select("doc_id", "text_hash", "kept_id").distinct()
-    src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text_col).cast("string")).alias("text_hash"))
-    found = src.join(groups, src["doc_id"].eqNullSafe(groups["doc_id"]) & (src["text_hash"] == groups["text_hash"]), "left")
-    kept = F.coalesce(groups["kept_id"], src["doc_id"])
-    return found.select(src["doc_id"], kept.alias("kept_id"), F.coalesce(kept != src["doc_id"], F.lit(False)).alias("is_copy"))
+    groups = near_groups(docs, id_col, text_col, radius, second_radius, least_jaccard, group_rows)
+    return groups.select("doc_id", "kept_id", "links", F.coalesce(F.col("kept_id") != F.col("doc_id"), F.lit(False)).alias("is_copy"))
 
 
 def drop_near_duplicates(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-    radius: int = RADIUS, second_radius: int = SECOND_RADIUS, shard_bits: int = SHARD_BITS,
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, second_radius: int = SECOND_RADIUS,
+    least_jaccard: float = LEAST_JACCARD, group_rows: int = GROUP_ROWS,
 ) -> DataFrame:
-    """``docs`` with one document of each group, all columns kept (see :func:`near_duplicates`).
+    """``docs`` with one document of each class, all columns kept (see :func:`near_duplicates`).
 
     Rows that are not compared stay, repeated rows collapse to one.
     """
-    groups = near_groups(docs, id_col, text_col, radius, second_radius, shard_bits)
-    gone = groups.filter("doc_id <> kept_id").select("doc_id", "text_hash").distinct()
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text_col).cast("string")).alias("text_hash")).distinct()
-    kept = rows.join(gone, rows["doc_id"].eqNullSafe(gone["doc_id"]) & (rows["text_hash"] == gone["text_hash"]), "left_anti")
+    groups = near_groups(docs, id_col, text_col, radius, second_radius, least_jaccard, group_rows)
+    kept = groups.filter("doc_id is null or doc_id = kept_id").select("doc_id", "text_hash").distinct()
     return keep_rows(docs, kept, id_col, text_col)
