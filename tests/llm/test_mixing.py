@@ -38,7 +38,8 @@ def test_rates_against_proportional_fitting(corpus, targets):
         got[r.source, r.margin] = r.rate
     total = sum(cells.values())
     own = {s: sum(v for k, v in cells.items() if k[0] == s) for s in "abc"}
-    wanted = targets or mixing.tempered_targets(own)
+    raised = {s: v**mixing.TEMPERATURE for s, v in own.items()}
+    wanted = targets or {s: v / sum(raised.values()) for s, v in raised.items()}
     margin = {m: sum(v for k, v in cells.items() if k[1] == m) / total for m in "xy"}
     want = _raked(cells, wanted, margin, 1.5 * total)
     for k in want:
@@ -74,4 +75,38 @@ def test_edge_cases(spark, corpus):
 def test_unmeetable_margins_end(spark):
     docs = spark.createDataFrame([(1, "a " * 90, "s", "x"), (2, "a " * 10, "t", "y")], "doc_id long, text string, source string, lang string")
     got = {r.doc_id: r.rate for r in mixing.rates(docs, targets={"s": 0.5, "t": 0.5}).collect()}
-    assert all(np.isfinite(v) for v in got.values())
+    assert got == {1: pytest.approx(50 / 90), 2: pytest.approx(5.0)}
+
+
+def test_rare_combinations_meet_their_rates_by_a_join(corpus):
+    whole = sorted((r.doc_id, r.copies, round(r.rate, 9)) for r in mixing.rates(corpus).collect())
+    for hot in (0, 2, 4):
+        assert sorted((r.doc_id, r.copies, round(r.rate, 9)) for r in mixing.rates(corpus, hot=hot).collect()) == whole
+        assert mixing.mixed(corpus, hot=hot).count() == sum(c for _, c, _ in whole)
+
+
+def test_more_than_twenty_thousand_sources(spark):
+    rows = spark.range(42_000).select(F.col("id").alias("doc_id"), F.expr("repeat('w ', cast(1 + id % 7 as int))").alias("text"), F.concat(F.lit("host-"), (F.col("id") % 21_000)).alias("source"), F.when(F.col("id") % 3 == 0, "x").otherwise("y").alias("lang"))
+    out = mixing.rates(rows)
+    got = {r.lang: r.t for r in out.groupBy(F.col("margin").alias("lang")).agg(F.sum(F.col("tokens") * F.col("rate")).alias("t")).collect()}
+    own = {r.lang: r.t for r in out.groupBy(F.col("margin").alias("lang")).agg(F.sum("tokens").alias("t")).collect()}
+    assert got == {k: pytest.approx(v, rel=1e-6) for k, v in own.items()}
+    assert out.filter("rate > 0").select("source").distinct().count() == 21_000
+
+
+@pytest.mark.parametrize("margins", [3, 9])
+def test_conjugate_gradients_take_the_same_step(spark, margins):
+    rng = np.random.default_rng(8)
+    rows = []
+    for s in range(12):
+        js = sorted(rng.choice(margins, int(rng.integers(1, margins + 1)), replace=False).tolist())
+        rows.append((float(rng.random() + 0.1), js, [float(x) for x in rng.random(len(js)) + 0.05]))
+    total = sum(r[0] for r in rows)
+    table = spark.createDataFrame([(g / total, j, t) for g, j, t in rows], "goal double, js array<int>, ts array<double>")
+    shares = np.zeros(margins)
+    for g, js, ts in rows:
+        for j, t in zip(js, ts):
+            shares[j] += g / total * t * (1 + 0.3 * j) / sum(u * (1 + 0.3 * k) for k, u in zip(js, ts))
+    a, b = mixing.solve(table, shares), mixing.solve(table, shares, dense=0)
+    assert np.allclose(a - a[0], b - b[0], atol=1e-5)
+    assert np.allclose(a - a[0], np.log((1 + 0.3 * np.arange(margins))), atol=1e-5)
