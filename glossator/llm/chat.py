@@ -37,29 +37,34 @@ def expanded_tokens(part: Column) -> Column:
 
 
 def _visit(parts: Column) -> Column:
-    """Fold over ordered parts: (text, attachments, how many of each kind)."""
-    empty = F.struct(
-        F.lit("").alias("text"),
-        F.array().cast("array<struct<place: int, kind: string, ref: string, tokens: bigint>>").alias("attachments"),
-        *(F.lit(0).alias(k) for k in KINDS),
-    )
+    """What a visitor of the ordered parts returns: (text, attachments).
+
+    Each part is visited once and gives its text or its placeholder; the
+    numbers are positions among the parts of a kind, so nothing is rebuilt as
+    the visit goes on.
+    """
+    known = lambda p: F.coalesce(p["type"].isin(*KINDS), F.lit(False))
+    held = F.transform(parts, lambda p, i: F.struct(p.alias("part"), i.alias("at")))
+
+    def places(k: str) -> Column:
+        return F.transform(F.filter(held, lambda x: F.coalesce(x["part"]["type"] == k, F.lit(False))), lambda x: x["at"])
+
+    def numbered(p: Column, at: Column, own: dict[str, Column]) -> Column:
+        number = None
+        for k in KINDS:
+            here = F.array_position(own[k], at)
+            number = F.when(p["type"] == k, here) if number is None else number.when(p["type"] == k, here)
+        return F.concat(F.lit("<|"), p["type"], F.lit("_"), number.cast("string"), F.lit("|>"))
 
-    def step(seen: Column, part: Column) -> Column:
-        kind = part["type"]
-        of_kind = {k: seen[k] + (kind == k).cast("int") for k in KINDS}
-        number = F.when(kind == "image", of_kind["image"]).when(kind == "audio", of_kind["audio"]).otherwise(of_kind["document"])
-        placeholder = F.concat(F.lit("<|"), kind, F.lit("_"), number.cast("string"), F.lit("|>"))
-        attached = F.struct(
-            F.size(seen["attachments"]).alias("place"), kind.alias("kind"), part["ref"].alias("ref"), expanded_tokens(part).alias("tokens")
-        )
-        known = F.coalesce(kind.isin(*KINDS), F.lit(False))
-        return F.struct(
-            F.concat(seen["text"], F.when(known, placeholder).otherwise(F.coalesce(part["text"], F.lit("")))).alias("text"),
-            F.when(known, F.concat(seen["attachments"], F.array(attached))).otherwise(seen["attachments"]).alias("attachments"),
-            *(F.coalesce(of_kind[k], seen[k]).alias(k) for k in KINDS),
-        )
+    def visited(v: Column) -> Column:
+        own = {k: v[k] for k in KINDS}
+        said = F.transform(v["held"], lambda x: F.when(known(x["part"]), numbered(x["part"], x["at"], own)).otherwise(F.coalesce(x["part"]["text"], F.lit(""))))
+        met = F.filter(v["held"], lambda x: known(x["part"]))
+        attached = F.transform(met, lambda x, place: F.struct(place.alias("place"), x["part"]["type"].alias("kind"), x["part"]["ref"].alias("ref"), expanded_tokens(x["part"]).alias("tokens")))
+        return F.struct(F.array_join(said, "").alias("text"), attached.alias("attachments"))
 
-    return F.aggregate(parts, empty, step)
+    # Bound once for a row, as each of these is used by every part.
+    return F.element_at(F.transform(F.array(F.struct(held.alias("held"), *(places(k).alias(k) for k in KINDS))), visited), 1)
 
 
 def words(text: Column) -> Column:
@@ -75,9 +80,11 @@ def format_chats(messages: DataFrame, conv_col: str = "conv_id", turn_col: str =
     content renders an empty message, a null part and a part of unknown or null
     type count as their text, if any. A placeholder's text is its number within
     the conversation, so repeated references stay apart. Repeated messages are
-    each rendered. A null conversation id is a conversation of its own. An
-    empty table gives no rows, very long parts are kept whole, and other
-    columns are not looked at.
+    each rendered. A null conversation id is a conversation of its own. A text
+    that holds the letters of a mark or placeholder, such as ``<|end|>``, keeps
+    them: text is never changed, and ``attachments`` alone says which
+    placeholders stand for one. An empty table gives no rows, very long parts
+    are kept whole, and other columns are not looked at.
     """
     src = messages.select(
         F.col(conv_col).alias("conv_id"), F.col(turn_col).alias("turn"), F.coalesce(F.col(role_col).cast("string"), F.lit("unknown")).alias("role"),
@@ -142,7 +149,7 @@ WITH t AS (
          row_number() OVER (PARTITION BY conv_id ORDER BY turn, o) - 1 AS place
   FROM a
 ), m AS (
-  SELECT t.conv_id, t.turn, '<|start|>' || t.role || chr(10) || replace(t.text, chr(10), '')
+  SELECT t.conv_id, t.turn, '<|start|>' || t.role || chr(10) || coalesce(t.text, '')
          || coalesce((SELECT string_agg('<|' || kind || '_' || number || '|>', '' ORDER BY place) FROM n WHERE n.conv_id = t.conv_id AND n.turn = t.turn), '')
          || '<|end|>' || chr(10) AS body
   FROM t

@@ -64,3 +64,25 @@ def test_line_breaks_of_a_turn_are_kept(spark):
         second = "<|image_1|>" if 4 * i % 5 == 0 else ""
         want = f"<|start|>user\n{t or ''}{second}<|end|>\n"
         assert got[4 * i] == (want, len(want.split()))
+
+
+def test_query_and_sql_agree_on_whole_turns(spark):
+    import duckdb
+
+    from glossator.llm.catalogue import QUERIES
+
+    folder = "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW conversations AS FROM '{folder}/conversations.parquet'")
+    names = ["conv_id", "text", "refs", "text_words", "attachment_tokens"]
+    want = sorted(con.sql(f"SELECT {', '.join(names)} FROM ({chat.CHAT_SQL})").fetchall())
+    got = sorted(tuple(r[n] for n in names) for r in QUERIES["op5_chat_formatting"](spark, folder).collect())
+    assert got == want and any("\n" in t[1].split("\n", 1)[1].split("<|end|>")[0] for t in got)
+
+
+def test_ties_and_literal_marks(spark):
+    odd = "<|image_1|> and <|end|>"
+    rows = [(1, 1, "user", [_part(type="text", text="b")]), (1, 1, "user", [_part(type="text", text="a")]), (1, 2, "user", [_part(type="text", text=odd), _part(type="image", ref="r", width=1, height=1)])]
+    (r,) = chat.format_chats(spark.createDataFrame(rows, f"conv_id long, turn int, role string, content {chat.PART_TYPE}").repartition(3)).collect()
+    assert r.text == f"<|start|>user\na<|end|>\n<|start|>user\nb<|end|>\n<|start|>user\n{odd}<|image_1|><|end|>\n"
+    assert [tuple(a) for a in r.attachments] == [(0, "image", "r", 1)]
