@@ -144,35 +144,63 @@ def train(windows: np.ndarray, labels: np.ndarray, languages: list[str], filters
     return net
 
 
+def _edges(keyed: DataFrame, total: dict[str, int], wanted: int) -> dict[str, int]:
+    """For each label the hash up to which its ``wanted`` smallest hashes go; all of it where there are fewer.
+
+    No row is ranked among all rows of its label: a share of the hashes that
+    should hold about twice what is wanted is looked at, and doubled for the
+    labels for which it held too few, as with many repeated rows.
+    """
+    low, high = -(2**63), 2**63 - 1
+    share = {label: min(1.0, 2 * wanted / n + 1e-6) for label, n in total.items()}
+    edge: dict[str, int] = {}
+    while left := {label: s for label, s in share.items() if label not in edge}:
+        cut = F.lit(False)
+        for label, s in left.items():
+            cut = cut | ((F.col("label") == label) & (F.col("h") <= (high if s >= 1 else low + int(s * 2.0**64))))
+        found: dict[str, list[int]] = {label: [] for label in left}
+        for r in keyed.select("label", "h").filter(cut).distinct().collect():
+            found[r.label].append(r.h)
+        for label, hashes in found.items():
+            if len(hashes) >= wanted:
+                edge[label] = sorted(hashes)[wanted - 1]
+            elif left[label] >= 1:
+                edge[label] = high
+            else:
+                share[label] = min(1.0, 2 * left[label])
+    return edge
+
+
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", train_rows: int = TRAIN_ROWS, row_windows: int = ROW_WINDOWS, window: int = WINDOW, seed: int = 11, **options) -> ByteCNN:
     """Train on at most ``train_rows`` labelled rows of each label.
 
-    Of each label those with the smallest hashes of the id train, whatever
-    order the table is in (rows of one hash train together). Each gives at most
+    Of each label those with the smallest hashes of id and text train, whatever
+    order the table is in; repeated rows train once. Each gives at most
     ``row_windows`` windows, spread evenly over the whole text. Rows with a
     null label, or a null or empty text, give none. Without two labels the
-    network knows the one label it has seen, or none.
+    network knows the one label it has seen, or none. Labels are assumed to be
+    few: one count for each is held on the driver.
     """
-    from pyspark.sql import Window as W
-
-    keyed = docs.select(F.xxhash64(F.col(id_col)).alias("h"), F.col(label_col).cast("string").alias("label"), F.col(text_col).cast("binary").alias("t"))
-    # Hashes and labels are ranked alone; no text travels but those chosen.
-    ranked = keyed.filter("label is not null").select("h", "label").withColumn("rank", F.row_number().over(W.partitionBy("label").orderBy("h"))).filter(F.col("rank") <= train_rows)
-    edge = {r.label: r.edge for r in ranked.groupBy("label").agg(F.max("h").alias("edge")).collect()}
-    languages = sorted(edge)
+    text = F.col(text_col).cast("binary")
+    keyed = docs.select(F.xxhash64(F.col(id_col), text).alias("h"), F.col(label_col).cast("string").alias("label"), text.alias("t")).filter("label is not null and octet_length(t) > 0")
+    total = {r.label: r.n for r in keyed.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    languages = sorted(total)
     if not languages:
         return train(np.empty((0, window), np.uint8), np.empty(0, np.int64), [])
+    edge = _edges(keyed, total, train_rows)
     within = F.lit(False)
     for label in languages:
         within = within | ((F.col("label") == label) & (F.col("h") <= edge[label]))
     size = F.octet_length("t")
     last = F.least(F.lit(row_windows), F.ceil(size / window)).cast("int") - 1
     places = F.transform(F.sequence(F.lit(0), last), lambda i: F.substring(F.col("t"), F.floor(i * F.greatest(size - window, F.lit(0)) / F.greatest(last, F.lit(1))).cast("int") + 1, F.lit(window)))
-    rows = keyed.filter(within & (size > 0)).select("h", "label", F.explode_outer(places).alias("t")).collect()
-    rows.sort(key=lambda r: (r.label, r.h, bytes(r.t)))
-    raw = np.frombuffer(b"".join(r.t for r in rows), dtype=np.uint8)
-    windows, row, _ = cut(raw, np.r_[0, np.cumsum([len(r.t) for r in rows])], window)
-    label = np.array([languages.index(r.label) for r in rows], dtype=np.int64)[row]
+    # Rows of one hash are one row; of repeats, however many, each task sends one.
+    chosen = keyed.filter(within).groupBy("label", "h").agg(F.min(places).alias("ws"))
+    rows = [(r.label, r.h, t) for r in chosen.collect() for t in r.ws]
+    rows.sort(key=lambda r: (r[0], r[1], bytes(r[2])))
+    raw = np.frombuffer(b"".join(r[2] for r in rows), dtype=np.uint8)
+    windows, row, _ = cut(raw, np.r_[0, np.cumsum([len(r[2]) for r in rows])], window)
+    label = np.array([languages.index(r[0]) for r in rows], dtype=np.int64)[row]
     return train(windows, label, languages, seed=seed, **options)
 
 

@@ -66,3 +66,53 @@ def test_edge_cases(spark, net):
     assert none.languages == [] and all(r.language is None for r in language_id.identified(docs, none).collect())
     one = language_id.fit(docs.selectExpr("doc_id", "text", "'en' lang"))
     assert one.languages == ["en"]
+
+
+def test_trains_on_the_smallest_hashes_and_on_repeats_once(spark, docs):
+    from pyspark.sql import functions as F
+
+    hot = spark.range(3000).select(F.lit(None).cast("long").alias("doc_id"), F.lit("und nicht der").alias("text"), F.lit("de").alias("lang"))
+    both = docs.unionByName(hot)
+    keyed = both.select(F.xxhash64("doc_id", F.col("text").cast("binary")).alias("h"), F.col("lang").alias("label"))
+    total = {"de": 3120, "en": 120, "fr": 120}
+    by = {}
+    for r in keyed.distinct().collect():
+        by.setdefault(r.label, []).append(r.h)
+    for wanted in (5, 100, 120, 500):
+        got = language_id._edges(keyed, total, wanted)
+        for label, hashes in by.items():
+            assert sum(h <= got[label] for h in hashes) == min(wanted, len(hashes))
+
+
+def test_no_rank_over_all_rows_of_a_label(docs):
+    import inspect
+
+    assert "row_number" not in inspect.getsource(language_id)
+
+
+def test_score_is_the_mean_of_windows_by_their_bytes(spark, net):
+    text = "the and of " * 40 + "über schön " * 3
+    raw = np.frombuffer(text.encode(), dtype=np.uint8)
+    windows, _, held = language_id.cut(raw, np.array([0, len(raw)]))
+    mean = (net.probabilities(windows) * held[:, None]).sum(0) / len(raw)
+    got = language_id.identified(spark.createDataFrame([(1, text)], "doc_id long, text string"), net).first()
+    assert (got.language, got.confidence) == (net.languages[int(mean.argmax())], pytest.approx(float(mean.max()), rel=1e-6))
+
+
+def test_gradients_lower_the_loss_and_ties_go_to_the_first(spark):
+    zero = language_id.ByteCNN(["b", "c"], {2: np.zeros((2, 256, 2), np.float32)}, {2: np.zeros(2, np.float32)}, np.zeros((2, 2), np.float32), np.zeros(2, np.float32))
+    got = language_id.identified(spark.createDataFrame([(1, "any text")], "doc_id long, text string"), zero).first()
+    assert (got.language, got.confidence, got.accepted) == ("b", 0.5, True)
+    rng = np.random.default_rng(2)
+    windows = rng.integers(97, 100, (60, 32)).astype(np.uint8)
+    labels = (windows[:, 3] == 97).astype(np.int64)
+    windows[labels == 1, 5] = 120
+    loss = lambda n: -np.log(n.probabilities(windows)[np.arange(60), labels]).mean()
+    assert loss(language_id.train(windows, labels, ["a", "b"], steps=120)) < 0.3 * loss(language_id.train(windows, labels, ["a", "b"], steps=1))
+
+
+def test_held_out_accuracy_on_documents(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    net = language_id.fit(docs.filter("doc_id % 2 = 0"))
+    found = language_id.accuracy(docs.filter("doc_id % 2 = 1"), net)
+    assert found[found.label == found.language]["count"].sum() >= 0.95 * found["count"].sum()
