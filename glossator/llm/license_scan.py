@@ -45,6 +45,17 @@ TEMPLATES = {
     "mit-grant": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files",
     "mpl-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
     "reserved": "All rights reserved.",
+    "bsd-2-clause-text": """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.""",
+    "gpl-3.0-notice": """This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.
+This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.""",
+    "isc-text": """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS.""",
+    "mit-text": """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
+The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.""",
 }
 THRESHOLD = 0.9
 BLOCKS = r"\n"
@@ -206,12 +217,33 @@ def _literal(text: str) -> str:
 
 LICENSE_SQL = f"""
 WITH t(template, body) AS (VALUES {", ".join(f"({_literal(k)}, {_literal(v)})" for k, v in sorted(TEMPLATES.items()))}),
-s AS (SELECT template, list_distinct(regexp_extract_all(lower(body), '{TOKENS}')) AS own FROM t),
-l AS (SELECT doc_id, string_split(text, chr(10)) AS parts FROM documents WHERE text IS NOT NULL),
-b AS (SELECT doc_id, unnest(parts) AS block, unnest(range(len(parts))) AS block_no FROM l),
-k AS (SELECT doc_id, block_no, list_distinct(regexp_extract_all(lower(block), '{TOKENS}')) AS tok FROM b)
-SELECT doc_id, CAST(block_no AS INTEGER) AS block_no, template,
-       CAST(len(list_intersect(tok, own)) AS INTEGER) AS overlap, CAST(len(own) AS INTEGER) AS template_tokens
-FROM k, s
-WHERE len(list_intersect(tok, own)) >= (len(own) * 9 + 9) // 10
+s AS (SELECT template, seq, own, len(seq) AS size, (len(own) * 9 + 9) // 10 AS need
+      FROM (SELECT template, regexp_extract_all(lower(body), '{TOKENS}') AS seq, list_distinct(regexp_extract_all(lower(body), '{TOKENS}')) AS own FROM t)),
+l AS (SELECT row_number() OVER () AS rid, doc_id, string_split(text, chr(10)) AS parts FROM documents WHERE text IS NOT NULL),
+b AS (SELECT rid, doc_id, unnest(parts) AS block, unnest(range(len(parts))) AS block_no FROM l),
+k AS (SELECT rid, doc_id, block_no, regexp_extract_all(lower(block), '{TOKENS}') AS seq FROM b),
+single AS (
+  SELECT rid, doc_id, CAST(block_no AS INTEGER) AS block_no, template, CAST(len(list_intersect(k.seq, own)) AS INTEGER) AS overlap, CAST(len(own) AS INTEGER) AS template_tokens
+  FROM k, s WHERE len(list_intersect(k.seq, own)) >= need
+),
+w AS (SELECT rid, any_value(doc_id) AS doc_id, flatten(list(seq ORDER BY block_no)) AS words, flatten(list(list_transform(seq, lambda x: block_no) ORDER BY block_no)) AS lines FROM k GROUP BY rid),
+c AS (
+  SELECT rid, template, size, own, start, len(list_intersect(words[start + 1 : start + size], own)) AS hit
+  FROM (SELECT rid, words, template, size, own, need, unnest(range(len(words))) AS start FROM w, s WHERE len(list_intersect(words, own)) >= need)
+  WHERE len(list_intersect(words[start + 1 : start + size], own)) >= need
+),
+g AS (
+  SELECT rid, template, list_reduce(list([start] ORDER BY hit DESC, start), lambda a, x: CASE WHEN len(list_filter(a, lambda y: abs(y - x[1]) < size)) > 0 THEN a ELSE list_concat(a, x) END) AS kept
+  FROM c GROUP BY rid, template, size
+),
+p AS (
+  SELECT w.rid, w.doc_id, s.template, own, size, list_intersect(words[start + 1 : start + size], own) AS hit, lines,
+         list_filter(range(start, least(start + size, len(words))), lambda i: list_contains(own, words[i + 1])) AS pos
+  FROM (SELECT rid, template, unnest(kept) AS start FROM g) g JOIN w ON w.rid = g.rid JOIN s ON s.template = g.template
+),
+q AS (SELECT rid, doc_id, template, len(hit) AS overlap, len(own) AS template_tokens, lines[pos[1] + 1] AS first_line, lines[pos[len(pos)] + 1] AS last_line FROM p)
+SELECT doc_id, block_no, template, overlap, template_tokens FROM single
+UNION ALL
+SELECT doc_id, CAST(first_line AS INTEGER), template, CAST(overlap AS INTEGER), CAST(template_tokens AS INTEGER)
+FROM q WHERE first_line < last_line AND NOT EXISTS (SELECT 1 FROM single WHERE single.rid = q.rid AND single.template = q.template AND single.block_no BETWEEN first_line AND last_line)
 """

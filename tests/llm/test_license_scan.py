@@ -1,6 +1,8 @@
 import random
 import re
 
+import duckdb
+
 import pytest
 
 from glossator.llm import license_scan
@@ -79,3 +81,36 @@ def test_each_template_is_found_wherever_it_breaks(spark):
     docs = spark.createDataFrame(rows, "doc_id string, text string").repartition(3)
     found = {(r.doc_id, r.template) for r in license_scan.license_blocks(docs, wrapped=True).collect()}
     assert all((i, i.split(":")[0]) in found for i, _ in rows)
+
+
+def _in_sql(rows):
+    con = duckdb.connect()
+    con.sql("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", rows)
+    return sorted(con.sql(f"SELECT doc_id, block_no, template, overlap, template_tokens FROM ({license_scan.LICENSE_SQL})").fetchall(), key=repr)
+
+
+def test_sql_has_wrapped_passages_too(spark):
+    draw = random.Random(9)
+    rows = [(1, MIT), (2, "Copyright\n\n" + ISC + "\n" + MPL), (None, "all rights\nreserved all\nrights reserved"), (4, None), (5, "")]
+    for i, body in enumerate(license_scan.TEMPLATES.values(), 10):
+        for k in range(6):
+            words = body.replace("\n", " ").split()
+            for at in draw.sample(range(len(words)), min(k, len(words) // 12)):
+                words[at] = "other"
+            text = "".join(w + draw.choice([" ", " ", "\n", "\n * "]) for w in words)
+            rows.append((100 * i + k, "before it\n" + text + "\nafter " + (text if k == 5 else "")))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted(map(tuple, license_scan.license_blocks(docs, wrapped=True).collect()), key=repr)
+    assert got == _in_sql(rows) and {r[2] for r in got} == set(license_scan.TEMPLATES)
+
+
+def test_a_large_set_of_templates_is_joined_without_broadcast(spark, monkeypatch):
+    draw = random.Random(1)
+    words = [f"W{k}" for k in range(40)]
+    templates = {f"t{k}": " ".join(draw.choices(words, k=draw.randint(1, 9))) for k in range(30)}
+    rows = [(i, "\n".join(" ".join(draw.choices(words, k=draw.randint(0, 14))) for _ in range(4))) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(license_scan, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(license_scan, "LITERAL", 0)
+    assert sorted(map(tuple, license_scan.license_blocks(docs, templates=templates, threshold=0.6).collect()), key=repr) == _brute(rows, templates, 0.6)
