@@ -383,7 +383,8 @@ def _encoder(model: str, n: int, slice_chars: int = 1 << 20):
                     None if rows is None else [{"score": s, "changes": [{"at": a, "drop": d, "ids": i} for a, d, i in changes]} for s, changes in rows]
                     for rows in best
                 ]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, hi - lo), lists, pa.array(named, type=_BEST), pa.array(exact, type=pa.bool_())], names=["doc_id", "ids", "n_best", "exact"])
+                passed = [c for c in batch.schema.names if c != "t"]
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(lo, hi - lo) for c in passed), lists, pa.array(named, type=_BEST), pa.array(exact, type=pa.bool_())], names=[*passed, "ids", "n_best", "exact"])
                 if not texts:
                     break
                 lo = hi
@@ -391,8 +392,8 @@ def _encoder(model: str, n: int, slice_chars: int = 1 << 20):
     return run
 
 
-def encoded(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str = MODEL, n: int = N_BEST) -> DataFrame:
-    """(doc_id, ids, n_best, exact), one row for each input row.
+def encoded(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str = MODEL, n: int = N_BEST, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, kept columns, ids, n_best, exact), one row for each input row.
 
     ``ids`` is the best segmentation and ``n_best`` the ``n`` best, each as its
     score and its changes to ``ids`` (see :meth:`Encoder.encode`). ``exact`` says that
@@ -400,16 +401,27 @@ def encoded(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mod
     the order is the same in every run. An empty text has no ids and one
     segmentation of score 0; a null text has nulls. Texts are encoded whole,
     however long. Null ids and repeated rows pass through, an empty table gives
-    no rows, and other columns are not looked at.
+    no rows. ``keep`` names other columns to pass on; one that is named like a
+    column of the result, in any case, comes back with ``_in`` added to it as
+    often as needed. The others are not looked at.
 
-    Only ids and texts reach Python; rows are encoded where they are read.
+    Only texts and what is passed on reach Python; rows are encoded where they
+    are read.
     """
     if n < 1:
         raise ValueError("n must be at least 1")
-    src = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("t"))
-    kind = src.schema["doc_id"].dataType.simpleString()
-    shape = f"doc_id {kind}, ids array<int>, n_best array<struct<score: double, changes: array<struct<at: int, drop: int, ids: array<int>>>>>, exact boolean"
-    return src.mapInArrow(_encoder(model, n), shape)
+    taken, names = {"doc_id", "ids", "n_best", "exact"}, []
+    for name in keep:
+        while name.lower() in taken:
+            name += "_in"
+        taken.add(name.lower())
+        names.append(name)
+    private = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))
+    at = {c: f"c{i}" for i, c in reversed(list(enumerate(docs.columns)))}
+    src = private.select(F.col(at[id_col]).alias("doc_id"), F.col(at[text_col]).cast("string").alias("t"), *(F.col(at[c]).alias(f"k{i}") for i, c in enumerate(keep)))
+    kinds = [(f.name, f.dataType.simpleString()) for f in src.schema.fields if f.name != "t"]
+    shape = ", ".join(f"{c} {kind}" for c, kind in kinds) + ", ids array<int>, n_best array<struct<score: double, changes: array<struct<at: int, drop: int, ids: array<int>>>>>, exact boolean"
+    return src.mapInArrow(_encoder(model, n), shape).toDF("doc_id", *names, "ids", "n_best", "exact")
 
 
 def decoded(encodings: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", model: str = MODEL) -> DataFrame:
