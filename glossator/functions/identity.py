@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 
 def short_hash(prefix: str, *parts: Column) -> Column:
-    return F.concat(F.lit(prefix), F.substring(F.sha2(F.concat_ws("|", *(p.cast("string") for p in parts)), 256), 1, 20))
+    """A prefix and 20 digits of the hash of the parts; null where a part is null."""
+    joined = [x for p in parts for x in (F.lit("|"), p.cast("string"))][1:]
+    return F.concat(F.lit(prefix), F.substring(F.sha2(F.concat(*joined), 256), 1, 20))
 
 
 def external_id(split: Column, index: Column, text: Column) -> Column:

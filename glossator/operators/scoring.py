@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from glossator.functions.text import iou
 from glossator.schema import SPAN
 
+from .spans import from_bytes
+
 SPANS = f"array<{SPAN}>"
 
 
@@ -116,6 +120,63 @@ def conflict_outcomes(pairs: DataFrame, conflict: Column, hint: Column, match: s
     return pairs.filter(conflict & (F.size("gold") == 1)).groupBy(outcome.alias("outcome")).agg(F.count("*").alias("n"))
 
 
+def refuse_faults(records: DataFrame, predictions: DataFrame, pairs: DataFrame, labels: list[str] | None, allow_partial: bool, allow_invalid: bool) -> None:
+    """Raise where ids repeat, are not in the corpus (unless ``allow_partial``), or spans are malformed (unless ``allow_invalid``)."""
+    twice = repeated_ids(predictions).orderBy("id").limit(1).collect()
+    if twice:
+        raise ValueError(f"prediction id {twice[0].id} occurs {twice[0].n} times")
+    if not allow_partial:
+        gone = unknown_ids(records, predictions).agg(F.count("*").alias("n"), F.min("id").alias("id")).first()
+        if gone.n:
+            raise ValueError(f"{gone.n} prediction ids are not in the corpus (first: {gone.id}); a partial score skips them")
+    if not allow_invalid:
+        bad = prediction_faults(pairs, labels).orderBy("case_id", "fault").limit(1).collect()
+        if bad:
+            raise ValueError(f"prediction {bad[0].case_id} is malformed: {bad[0].fault}")
+
+
+def score(
+    records: DataFrame, predictions: DataFrame, labels: list[str] | None = None, families: dict[str, tuple[str, str]] | None = None, match: str = "strict",
+    byte_offsets: bool = False, allow_partial: bool = False, allow_invalid: bool = False,
+) -> dict:
+    """The report on predictions for records, all options applied and all faults refused.
+
+    ``byte_offsets``: spans are in UTF-8 bytes; one that cuts a character is
+    malformed. ``allow_partial``: only records with a prediction count, and
+    unknown ids are skipped. ``allow_invalid``: malformed spans are scored.
+    """
+    if match not in MATCHERS:
+        raise ValueError(f"unknown match mode {match}")
+    pairs = paired(records, predictions, allow_partial)
+    if byte_offsets:
+        pairs = pairs.withColumn("spans", from_bytes(F.col("text"), F.col("spans")))
+    refuse_faults(records, predictions, pairs, labels, allow_partial, allow_invalid)
+    out = report(pairs, families, match)
+    scored, told = records.count(), predictions.join(records.select(F.col("case_id").alias("id")), "id", "left_semi").count()
+    return out | {"match": match, "records": told if allow_partial else scored, "predicted_records": told, "records_without_predictions": 0 if allow_partial else scored - told, "limitation": LIMITATION}
+
+
+LIMITATION = "Scores on generated records say how a detector does on them, not on other data."
+
+
+def render(report: dict, kind: str = "text") -> str:
+    """A score report as text, json or markdown."""
+    if kind == "json":
+        return json.dumps(report, ensure_ascii=False, indent=2, sort_keys=True) + "\n"
+    overall = report["slices"].get("overall", {}).get("all", rates(0, 0, 0))
+    keys = ("precision", "recall", "f1", "tp", "fp", "fn")
+    rows = [(s, n, *(v[k] for k in keys)) for s in ("label", "family", "kind", "split") for n, v in sorted(report["slices"].get(s, {}).items())]
+    if kind == "markdown":
+        head = [f"# Score ({report.get('match', 'strict')})", "", f"{report.get('records', '')} records, micro F1 {overall['f1']}, macro F1 {report['macro_f1']}", "", "| slice | name | precision | recall | F1 | TP | FP | FN |", "|-|-|-|-|-|-|-|-|"]
+        body = ["| " + " | ".join(map(str, r)) + " |" for r in rows]
+        return "\n".join([*head, *body, "", "## Diagnostics", "", *(f"- {k}: {v}" for k, v in report["diagnostics"].items()), "", f"> {report.get('limitation', LIMITATION)}"]) + "\n"
+    if kind != "text":
+        raise ValueError(f"unknown report format {kind}")
+    body = [f"{s:8} {n:32} " + " ".join(f"{k}={v}" for k, v in zip(keys, r)) for s, n, *r in rows]
+    first = "overall  " + " ".join(f"{k}={overall[k]}" for k in keys) + f" macro_f1={report['macro_f1']}"
+    return "\n".join([first, *body, *(f"{k} {v}" for k, v in report["diagnostics"].items()), report.get("limitation", LIMITATION)]) + "\n"
+
+
 def report(pairs: DataFrame, families: dict[str, tuple[str, str]] | None = None, match: str = "strict") -> dict:
     """All slices and diagnostics as plain values. ``families``: name -> (plugin, role)."""
     out: dict = {"slices": {}, "diagnostics": {}}

@@ -93,9 +93,10 @@ def _duplicates(ctx):
 def _redundancy(ctx):
     limit = ctx.limits["intra_split_similarity_threshold"]
     rows = contamination.redundancy(ctx.records, similarity.near_pairs(ctx.records, "case_id", "text", limit, "split")).collect()
+    kinds = {r.split: r.n for r in ctx.records.groupBy("split").agg(F.count_distinct(F.md5(contamination.record_skeleton(ctx.records).cast("binary"))).alias("n")).collect()}
     worst = max((r.involved / r.total for r in rows), default=0.0)
     most = ctx.limits["max_intra_split_near_dup_fraction"]
-    return [_verdict("intra_split_redundancy", worst > most, sum(r.pairs for r in rows), worst, most, per_split={r.split: {"pairs": r.pairs, "near_duplicate_records": r.involved, "fraction": round(r.involved / r.total, 4)} for r in rows})]
+    return [_verdict("intra_split_redundancy", worst > most, sum(r.pairs for r in rows), worst, most, similarity_threshold=limit, per_split={r.split: {"pairs": r.pairs, "near_duplicate_records": r.involved, "fraction": round(r.involved / r.total, 4), "skeleton_ratio": round(kinds[r.split] / r.total, 4)} for r in rows})]
 
 
 @check("label_exclusive_morphology", "morphology_label_dominance", needs_config=True)
@@ -146,7 +147,7 @@ def _label_markers(ctx):
 
 
 def _valid(ctx, plugin):
-    found = validation.evidence(ctx.records, ctx.config).filter((F.col("plugin") == plugin) & (F.size("annotations") > 0) & (F.size("evidence_faults") == 0))
+    found = validation.evidence(ctx.records, ctx.config).filter((F.col("plugin") == plugin) & (F.col("kind") == "positive") & (F.size("annotations") > 0) & (F.size("evidence_faults") == 0))
     n = {r.split: r["count"] for r in found.groupBy("split").count().collect()}
     return {s: n.get(s, 0) for s in SPLITS}
 

@@ -53,11 +53,22 @@ class Config:
     personas: tuple[str, ...]
     organizations: tuple[str, ...]
     generated_data_license: str = "CC0-1.0"
+    probe: bool = False
 
     @property
     def digest(self) -> str:
         return hashlib.sha256(canonical(asdict(self)).encode()).hexdigest()
 
+    def snapshot(self) -> dict:
+        """A mapping in the layout of the TOML file, from which :func:`config_of` makes an equal configuration."""
+        audit = {k: v for k, v in self.audit.items() if not k.startswith("probe.")}
+        return {
+            "project_name": self.project_name, "seed": self.seed, "positive_ratio": self.positive_ratio, "minimum_hard_negative_ratio": self.minimum_hard_negative_ratio, "splits": dict(self.splits),
+            "labels": [asdict(x) for x in self.labels], "families": [asdict(x) for x in self.families], "diversity": dict(self.diversity), "safety": dict(self.safety),
+            "audit": audit | {"probe": {"enabled": self.probe} | {k.removeprefix("probe."): v for k, v in self.audit.items() if k.startswith("probe.")}},
+            "surfaces": {"personas": list(self.personas), "organizations": list(self.organizations)}, "generated_data_license": self.generated_data_license,
+        }
+
     def labels_table(self, spark: SparkSession) -> DataFrame:
         return spark.createDataFrame([(x.name, x.plugin, x.morphology_group, list(x.cues), x.options.get("preferred_shape")) for x in self.labels], "name string, plugin string, morphology_group string, cues array<string>, preferred_shape string")
 
@@ -97,6 +108,9 @@ def config_of(raw: dict) -> Config:
     _need(1 - ratio >= least - 1e-12, "the positive ratio leaves too few hard negatives")
     _need(raw.get("seed", 0) >= 0, "the seed must not be negative")
     audit = dict(raw.get("audit", {}))
+    # An older snapshot may still have a threshold that is no more.
+    audit.pop("minimum_value_entropy_bits", None)
+    probe = bool(dict(audit.get("probe", {})).get("enabled", False))
     audit |= {f"probe.{k}": v for k, v in audit.pop("probe", {}).items() if k != "enabled"}
     _need(audit.get("minimum_marker_support", 20) >= 2, "marker support must be at least 2")
     safety = {"reserved_email_domains": list(DOMAINS), "allowed_value_prefixes": ["SYN-", "synthetic "], "forbidden_terms": [], "mode": "either"} | raw.get("safety", {})
@@ -111,7 +125,7 @@ def config_of(raw: dict) -> Config:
         _need(len(pools[k]) // 3 >= diversity[least_each], f"too few {k} for the splits")
     return Config(
         raw.get("project_name", "corpus"), raw.get("seed", 0), ratio, least, {s: splits[s] for s in SPLITS}, labels, families, diversity,
-        thresholds(**{k.replace(".", "__"): v for k, v in audit.items()}), safety, pools["personas"], pools["organizations"], raw.get("generated_data_license", "CC0-1.0"),
+        thresholds(**{k.replace(".", "__"): v for k, v in audit.items()}), safety, pools["personas"], pools["organizations"], raw.get("generated_data_license", "CC0-1.0"), probe,
     )
 
 

@@ -1,9 +1,11 @@
 """Deterministic synthetic corpora, built as one projection over a range.
 
 Every value is a function of the configuration's digest and the record's
-place, and values are unique by construction: a record's number in its split
-fills the digits, and splits use different letters, years or areas. No record
-needs to know of another, so any size is generated in parallel.
+place. A record's number in its split fills the digits, and splits use
+different letters, years or areas, so different numbers give different values
+as far as a plugin's range goes; a corpus that needs more of them than there
+are is refused. No record needs to know of another, so any size is generated
+in parallel.
 """
 
 from __future__ import annotations
@@ -24,15 +26,19 @@ from .config import Config, Family, config_of, part
 
 LETTERS, YEARS = "ABCDEFGHJKLMNPQRSTUVWXYZ", range(1971, 2019)
 _PLUGINS: dict[str, Callable] = {}
+_RANGES: dict[str, int | None] = {}
 _BODIES: dict[str, tuple[str, tuple[str, ...]]] = {}
 _OPENINGS = ("During intake {persona} wrote:", "A note kept by {organization} reads:", "{persona} confirmed on the phone:", "From the ledger of {organization}:", "In reply, {persona} stated:", "Filed by {organization} last week:")
 
 
-def register_value(name: str, plugin: Callable[[Column, Column, Column], Column], replace: bool = False) -> None:
-    """Add a value plugin: (split, number within the split, wanted shape or null) -> value; different numbers must give different values."""
+def register_value(name: str, plugin: Callable[[Column, Column, Column], Column], replace: bool = False, numbers: int | None = None) -> None:
+    """Add a value plugin: (split, number within the split, wanted shape or null) -> value.
+
+    Different numbers below ``numbers`` must give different values; None: all do.
+    """
     if name in _PLUGINS and not replace:
         raise ValueError(f"value plugin {name} exists")
-    _PLUGINS[name] = plugin
+    _PLUGINS[name], _RANGES[name] = plugin, numbers
 
 
 def register_family(name: str, role: str, bodies: tuple[str, ...], replace: bool = False) -> None:
@@ -61,8 +67,14 @@ def _by_split(split: Column, make: Callable[[str], Column]) -> Column:
 def _identifier(split: Column, g: Column, wanted: Column) -> Column:
     letters = {s: part(LETTERS, s) for s in SPLITS}
     letter = lambda at: F.substring(_by_split(split, lambda s: F.lit("".join(letters[s]))), (at % 8 + 1).cast("int"), F.lit(1))
-    number = lambda size: F.lpad((g * 7919 % 10**size).cast("string"), size, "0")
-    high = lambda size: F.floor(g / 10**size)
+
+    def number(size: int) -> Column:
+        # Of the numbers of so many digits, the ten with equal digits are left out: one in each run of ``gap + 1``.
+        gap = (10**size - 1) // 9 - 1
+        at = g * 7919 % (10**size - 10)
+        return F.lpad((F.floor(at / gap) * (gap + 1) + 1 + at % gap).cast("string"), size, "0")
+
+    high = lambda size: F.floor(g / (10**size - 10))
     kind = F.coalesce(F.when(wanted == "synthetic_alpha_five", 0).when(wanted == "synthetic_two_alpha_four", 1).when(wanted == "synthetic_segmented", 2), (g % 3).cast("int"))
     five = F.concat(letter(high(5)), number(5))
     four = F.concat(letter(high(4)), letter(F.floor(high(4) / 8)), number(4))
@@ -75,11 +87,28 @@ def _date(split: Column, g: Column, wanted: Column) -> Column:
     return F.format_string("SYN-DATE-%04d-%02d-%02d", year.cast("int"), (F.floor(g / 28) % 12 + 1).cast("int"), (g % 28 + 1).cast("int"))
 
 
-register_value("fictional_identifier", _identifier)
-register_value("synthetic_date", _date)
-register_value("never_issued_ssn_shape", lambda split, g, w: F.format_string("%03d-%02d-%04d", (900 + 3 * (F.floor(g / 9999) % 33) + _by_split(split, lambda s: F.lit(SPLITS.index(s)))).cast("int"), (g * 37 % 99 + 1).cast("int"), (g % 9999 + 1).cast("int")))
-register_value("reserved_phone_nanp", lambda split, g, w: F.format_string("%03d-555-01%02d", (200 + 3 * (F.floor(g / 100) % 260) + _by_split(split, lambda s: F.lit(SPLITS.index(s)))).cast("int"), (g % 100).cast("int")))
+def _card(split: Column, g: Column, wanted: Column) -> Column:
+    """Sixteen digits whose check digit is wrong."""
+    body = F.concat(F.lit("9"), _by_split(split, lambda s: F.lit(str(SPLITS.index(s)))), F.lpad(g.cast("string"), 13, "0"))
+    digits = F.concat(body, F.when(F.call_function("luhn_check", F.concat(body, F.lit("0"))), F.lit("1")).otherwise(F.lit("0")))
+    return F.array_join(F.array(*(F.substring(digits, k, 4) for k in (1, 5, 9, 13))), "-")
+
+
+def _address(split: Column, g: Column, wanted: Column) -> Column:
+    """Addresses of the blocks for documentation; beyond those of version 4, version 6."""
+    four = F.concat(_by_split(split, lambda s: F.lit(("192.0.2.", "198.51.100.", "203.0.113.")[SPLITS.index(s)])), (g + 1).cast("string"))
+    group = lambda shift: F.lower(F.hex(F.shiftright(g, shift).bitwiseAND(F.lit(0xFFFF))))
+    six = F.concat(F.lit("2001:db8:"), _by_split(split, lambda s: F.lit(str(SPLITS.index(s)))), F.lit(":0:0:"), group(32), F.lit(":"), group(16), F.lit(":"), group(0))
+    return F.when(g < 254, four).otherwise(six)
+
+
+register_value("fictional_identifier", _identifier, numbers=500_000)
+register_value("synthetic_date", _date, numbers=16 * 336)
+register_value("never_issued_ssn_shape", lambda split, g, w: F.format_string("%03d-%02d-%04d", (900 + 3 * (F.floor(g / 9999) % 33) + _by_split(split, lambda s: F.lit(SPLITS.index(s)))).cast("int"), (g * 37 % 99 + 1).cast("int"), (g % 9999 + 1).cast("int")), numbers=33 * 9999)
+register_value("reserved_phone_nanp", lambda split, g, w: F.format_string("%03d-555-01%02d", (200 + 3 * (F.floor(g / 100) % 260) + _by_split(split, lambda s: F.lit(SPLITS.index(s)))).cast("int"), (g % 100).cast("int")), numbers=26_000)
 register_value("reserved_email", lambda split, g, w: F.concat(_by_split(split, lambda s: F.lit(("ada", "bela", "cyra")[SPLITS.index(s)])), F.lit(".k"), g.cast("string"), F.lit("@example.org")))
+register_value("card_shaped_invalid", _card, numbers=10**13)
+register_value("documentation_ip", _address, numbers=1 << 48)
 
 for _name, _role, _what in (
     ("narrative", "positive", "the {cue} is {value}"), ("structural", "positive", "{cue}: {value}"), ("ocr_noise", "positive", "scanned {cue} {value}"), ("spoken", "positive", "read aloud, the {cue} was {value}"),
@@ -101,11 +130,11 @@ def spelled(value: Column) -> Column:
 
 
 def noisy(value: Column, k: Column) -> Column:
-    """One misread character, chosen by ``k``, at its first place; a trailing mark where there is none."""
+    """One misread character, chosen by ``k``, at its first place; where there is none, a blank or a stop at the end."""
     out = None
     for n, (a, b) in enumerate((("0", "O"), ("1", "l"), ("5", "S"), ("8", "B"))):
         at = F.instr(value, a)
-        changed = F.when(at > 0, F.concat(F.substring(value, F.lit(1), at - 1), F.lit(b), F.substring(value, at + 1, F.length(value)))).otherwise(F.concat(value, F.lit("*")))
+        changed = F.when(at > 0, F.concat(F.substring(value, F.lit(1), at - 1), F.lit(b), F.substring(value, at + 1, F.length(value)))).otherwise(F.concat(value, F.when(k % 2 == 1, F.lit(" ")).otherwise(F.lit("."))))
         out = F.when(k % 4 == n, changed) if out is None else out.when(k % 4 == n, changed)
     return out
 
@@ -121,6 +150,12 @@ def allocation(total: int, families: tuple[Family, ...]) -> dict[str, int]:
 def generate(spark: SparkSession, config: Config) -> DataFrame:
     """Records of the configuration, the same for the same configuration whatever the cluster."""
     places = []
+    needed = 2 * max(config.splits.values())
+    for plugin in {x.plugin for x in config.labels}:
+        if plugin not in _PLUGINS:
+            raise ValueError(f"unknown value plugin {plugin}")
+        if _RANGES[plugin] is not None and needed > _RANGES[plugin]:
+            raise ValueError(f"value plugin {plugin} has {_RANGES[plugin]} different values for a split; {needed} are needed")
     for split, size in config.splits.items():
         positives, g = int(size * config.positive_ratio), 0
         for role, n in (("positive", positives), ("hard_negative", size - positives)):

@@ -1,4 +1,4 @@
-"""Sinks: record files with a manifest, and span and token formats of other tools."""
+"""Sinks: records as JSON lines, and span and token formats of other tools."""
 
 from __future__ import annotations
 
@@ -8,8 +8,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from glossator.operators.spans import tagged
-from glossator.operators.values import split_counts
-from glossator.schema import MANIFEST_VERSION
 
 FORMATS = ("jsonl", "bio", "huggingface", "spacy", "presidio")
 
@@ -19,10 +17,17 @@ def canonical(value) -> str:
     return json.dumps(value, ensure_ascii=False, sort_keys=True, separators=(",", ":"))
 
 
-def record_json(records: DataFrame) -> DataFrame:
-    """(split, value): each record as JSON with its keys in alphabetical order, nulls kept."""
+def pretty(value) -> str:
+    """Indented JSON with sorted keys, ended by a newline."""
+    return json.dumps(value, ensure_ascii=False, sort_keys=True, indent=2) + "\n"
+
+
+def record_json(records: DataFrame, *keep: str) -> DataFrame:
+    """(split, kept columns, value): each record as JSON with its keys in alphabetical order, nulls kept."""
     fields = sorted(c for c in records.columns)
-    return records.select("split", F.to_json(F.struct(*fields), {"ignoreNullFields": "false"}).alias("value"))
+    # A map has no order of its own.
+    even = records.withColumn("metadata", F.map_from_entries(F.array_sort(F.map_entries("metadata")))) if "metadata" in fields else records
+    return even.select("split", *keep, F.to_json(F.struct(*fields), {"ignoreNullFields": "false"}).alias("value"))
 
 
 def _tokens(records: DataFrame) -> DataFrame:
@@ -62,22 +67,8 @@ def export(records: DataFrame, path: str, kind: str) -> None:
     lines(records, kind).write.partitionBy("split").mode("errorifexists").text(path)
 
 
-def labels(records: DataFrame) -> dict:
-    """The labels of the corpus and the tags made of them."""
-    names = sorted(r.label for r in records.select(F.explode("annotations.entity_type").alias("label")).distinct().collect())
-    return {"labels": names, "tags": ["O", *(f"{p}-{n}" for n in names for p in "BI")]}
-
-
 def digest(values: DataFrame) -> str:
     """A hash of all values that doesn't depend on their order or partitions."""
     whole = values.select(F.conv(F.substring(F.sha2("value", 256), 1, 15), 16, 10).cast("decimal(38,0)").alias("h"))
     row = whole.agg(F.count("*").alias("n"), F.sum("h").alias("s")).first()
     return f"{row.n}:{row.s or 0}"
-
-
-def write_corpus(records: DataFrame, path: str, config: dict | None = None) -> dict:
-    """Write record files by split and return the manifest: counts, and a digest of each split's lines."""
-    values = record_json(records)
-    values.write.partitionBy("split").mode("errorifexists").text(path)
-    counts = {r.split: {k: r[k] for k in r.asDict() if k != "split"} for r in split_counts(records).collect()}
-    return {"schema_version": MANIFEST_VERSION, "counts": counts, "config": config or {}, "digests": {s: digest(values.filter(F.col("split") == s)) for s in sorted(counts)}}
