@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import re
+import sys
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 #: Codes in capitals with a digit, e-mail addresses, bracketed phone numbers, dashed or dotted groups of digits.
 IDENTIFIER = r"\b[A-Z]{2,}[A-Z0-9-]*[0-9][A-Z0-9-]*\b|\b[A-Za-z0-9][A-Za-z0-9_.+-]*@[A-Za-z0-9_.-]+\b|\([0-9]{3}\) [0-9]{3}-[0-9]{4}|\b[0-9]{1,4}(?:[-.][0-9]{1,4}){2,}\b"
@@ -31,9 +30,27 @@ def squeezed(text: str | Column) -> Column:
     return F.trim(F.regexp_replace(col(text), r"(?U)\s+", " "))
 
 
+#: Characters that folding changes further than lower-casing does, and what they become.
+_FOLDS = {c: c.casefold() for c in map(chr, range(sys.maxunicode + 1)) if c.lower() == c and c.casefold() != c}
+_ONE = {k: v for k, v in _FOLDS.items() if len(v) == 1}
+#: A class of a few ranges that has all characters that become several, but for the sharp s, which is common.
+_SEVERAL = "[\u0149\u01f0\u0390\u03b0\u0587\u1e96-\u1e9f\u1f50-\u1fff\ufb00-\ufb17]"
+
+
 def casefold(text: str | Column) -> Column:
-    """Lower case with the commonest full foldings, so that equal texts in any case compare equal."""
-    return F.translate(F.replace(F.lower(col(text)), F.lit("ß"), F.lit("ss")), "ſς", "sσ")
+    """Full case folding, so that equal texts in any case compare equal.
+
+    Plain ASCII texts need no more than lower case; of the others few have a
+    character that becomes several, and only those are taken apart.
+    """
+    table = F.str_to_map(F.lit("\x1e".join(f"{k}\x1f{v}" for k, v in _FOLDS.items())), F.lit("\x1e"), F.lit("\x1f"))
+
+    def folded(low: Column) -> Column:
+        apart = F.array_join(F.transform(F.split(low, ""), lambda c: F.coalesce(F.try_element_at(table, c), c)), "")
+        ones = F.translate(F.replace(low, F.lit("ß"), F.lit("ss")), "".join(_ONE), "".join(_ONE.values()))
+        return F.when(F.octet_length(low) == F.length(low), low).when(low.rlike(_SEVERAL), apart).otherwise(ones)
+
+    return let(F.lower(col(text)), folded)
 
 
 def fingerprint(text: str | Column) -> Column:
@@ -44,19 +61,19 @@ def fingerprint(text: str | Column) -> Column:
 def matches(text: str | Column, pattern: str) -> Column:
     """array<struct<start, end, text>> of a pattern's matches, in code points.
 
-    The pieces between the matches give the offsets. The fold costs the square
-    of the number of matches, so it suits patterns with few of them.
+    The pieces between the matches give the offsets: a match begins behind all
+    pieces up to its own and all matches before. Their sums come from one fold
+    over numbers; texts without a match, which are most, build nothing.
     """
-    found, gaps = F.regexp_extract_all(col(text), F.lit(pattern), F.lit(0)), F.split(col(text), pattern, -1)
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start: int, end: int, text: string>>").alias("out"))
 
-    def step(seen: Column, pair: Column) -> Column:
-        begin = seen["at"] + F.length(pair["g"])
-        end = begin + F.length(pair["m"])
-        return F.struct(end.alias("at"), F.concat(seen["out"], F.array(F.struct(begin.alias("start"), end.alias("end"), pair["m"].alias("text")))).alias("out"))
+    def placed(p: Column) -> Column:
+        steps = F.zip_with(p["found"], p["gaps"], lambda m, g: F.struct(F.length(g).alias("g"), F.length(m).alias("m")))
+        ends = F.aggregate(F.slice(steps, F.lit(1), F.size(p["found"])), F.array(F.lit(0)), lambda seen, x: F.concat(seen, F.array(F.element_at(seen, -1) + x["g"] + x["m"])))
+        return F.transform(p["found"], lambda m, i: F.struct((F.get(ends, i + 1) - F.length(m)).alias("start"), F.get(ends, i + 1).alias("end"), m.alias("text")))
 
-    pairs = F.zip_with(found, gaps, lambda m, g: F.struct(m.alias("m"), g.alias("g")))
-    return F.aggregate(F.filter(pairs, lambda p: p["m"].isNotNull()), start, step)["out"]
+    found = F.regexp_extract_all(col(text), F.lit(pattern), F.lit(0))
+    none = F.array().cast("array<struct<start: int, end: int, text: string>>")
+    return let(found, lambda own: F.when(F.size(own) == 0, none).when(F.size(own) > 0, let(F.struct(own.alias("found"), F.split(col(text), pattern, -1).alias("gaps")), placed)))
 
 
 def whole(value: str | Column, pattern: str) -> Column:
@@ -121,18 +138,22 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.when(total == 0, F.lit(1.0)).otherwise(both / total)
 
 
-def char_grams(text: str | Column, widths=(3, 4, 5), buckets: int = 1 << 18) -> Column:
-    """Buckets of the character n-grams of a text, with repeats."""
+def char_ngrams(text: str | Column, widths=(3, 4, 5)) -> Column:
+    """The character n-grams of a text, in any case, with repeats."""
 
     def of_width(chars: Column, w: int) -> Column:
         n = F.size(chars) - w + 1
-        grams = F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.crc32(F.array_join(F.slice(chars, i, w), "").cast("binary")).bitwiseAND(F.lit(buckets - 1)).cast("int"))
-        return F.when(n >= 1, grams).otherwise(F.array().cast("array<int>"))
+        return F.when(n >= 1, F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.array_join(F.slice(chars, i, w), ""))).otherwise(F.array().cast("array<string>"))
 
     # An array of characters: reaching into a long string would take time in proportion to the place.
     return let(F.filter(F.split(casefold(text), ""), lambda c: c != ""), lambda chars: F.concat(*(of_width(chars, w) for w in widths)))
 
 
+def char_grams(text: str | Column, widths=(3, 4, 5), buckets: int = 1 << 18) -> Column:
+    """Buckets of the character n-grams of a text, with repeats."""
+    return F.transform(char_ngrams(text, widths), lambda g: F.crc32(g.cast("binary")).bitwiseAND(F.lit(buckets - 1)).cast("int"))
+
+
 _SHAPES: dict[str, object] = {}
 
 
@@ -181,13 +202,6 @@ def entropy(counts: Column) -> Column:
     return F.aggregate(counts, F.lit(0.0), lambda s, n: s - F.when(n > 0, n / total * F.log2(n / total)).otherwise(F.lit(0.0)))
 
 
-@F.pandas_udf(ArrayType(StructType([StructField("start", IntegerType()), StructField("end", IntegerType()), StructField("token", StringType())])))
-def tokens_with_offsets(texts):
-    """Words and signs with code-point offsets; in Arrow batches, as a fold over thousands of tokens would be quadratic."""
-    pattern = re.compile(WORD_OR_SIGN)
-    return texts.map(lambda t: None if t is None else [{"start": m.start(), "end": m.end(), "token": m.group()} for m in pattern.finditer(t)])
-
-
 for _name, _pattern in {
     "spoken_synthetic": lambda v: F.startswith(casefold(F.trim(v)), F.lit("synthetic ")),
     "synthetic_calendar": r"SYN-DATE-\d{4}-\d{2}-\d{2}",

@@ -8,15 +8,20 @@ from pyspark.sql import functions as F
 from glossator.functions.text import contains_folded, fingerprint, skeleton
 
 
-def shared_by_splits(values: DataFrame, dimension: str) -> DataFrame:
-    """(dimension, split_a, split_b, n): distinct values of ``values(split, v)`` that each pair of splits has in common.
+def shared_dimensions(values: DataFrame) -> DataFrame:
+    """(dimension, split_a, split_b, n): distinct values of ``values(dimension, split, v)`` that each pair of splits has in common.
 
     One shuffle on the value; a value's few splits are then paired in its row.
     """
-    held = values.filter("v is not null").groupBy("v").agg(F.array_sort(F.collect_set("split")).alias("s")).filter(F.size("s") > 1)
+    held = values.filter("v is not null").groupBy("dimension", "v").agg(F.array_sort(F.collect_set("split")).alias("s")).filter(F.size("s") > 1)
     rest = F.transform("s", lambda x, i: F.transform(F.slice("s", i + 2, F.size("s")), lambda y: F.struct(x.alias("a"), y.alias("b"))))
-    pairs = held.select(F.explode_outer(F.flatten(rest)).alias("p"))
-    return pairs.groupBy(F.lit(dimension).alias("dimension"), F.col("p.a").alias("split_a"), F.col("p.b").alias("split_b")).agg(F.count("*").alias("n"))
+    pairs = held.select("dimension", F.explode_outer(F.flatten(rest)).alias("p"))
+    return pairs.groupBy("dimension", F.col("p.a").alias("split_a"), F.col("p.b").alias("split_b")).agg(F.count("*").alias("n"))
+
+
+def shared_by_splits(values: DataFrame, dimension: str) -> DataFrame:
+    """:func:`shared_dimensions` of one dimension, ``values(split, v)``."""
+    return shared_dimensions(values.select(F.lit(dimension).alias("dimension"), "split", "v"))
 
 
 def dimensions(records: DataFrame) -> dict[str, DataFrame]:

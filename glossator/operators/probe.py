@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from glossator.functions.text import char_grams
+from glossator.functions.text import char_ngrams
 
 MINIMUM_TRAIN, MARGIN = 10, 0.05
 
@@ -27,11 +27,10 @@ def tasks(records: DataFrame) -> dict[str, DataFrame]:
 
 
 def features(examples: DataFrame, text: str | Column = "text", dimension: int = 1 << 18) -> DataFrame:
-    """``examples`` with the column features, sparse vectors of unit length."""
-    from pyspark.ml.feature import CountVectorizerModel, HashingTF, Normalizer  # noqa: F401
+    """``examples`` with the column features, sparse vectors of unit length: counts of character n-grams, hashed once."""
+    from pyspark.ml.feature import HashingTF, Normalizer
 
-    grams = F.transform(char_grams(text, buckets=dimension), lambda b: b.cast("string"))
-    hashed = HashingTF(inputCol="__grams", outputCol="__tf", numFeatures=dimension).transform(examples.withColumn("__grams", grams))
+    hashed = HashingTF(inputCol="__grams", outputCol="__tf", numFeatures=dimension).transform(examples.withColumn("__grams", char_ngrams(text)))
     return Normalizer(inputCol="__tf", outputCol="features", p=2.0).transform(hashed).drop("__grams", "__tf")
 
 

@@ -12,7 +12,9 @@ from glossator.functions.safety import record_reasons
 from glossator.functions.text import casefold, contains_folded, fingerprint, shape
 from glossator.schema import RECORD_VERSION, SPLITS
 
-from .contamination import dimensions, shared_by_splits
+from glossator.sources.intermediate import stored
+
+from .contamination import record_skeleton, shared_dimensions
 from .spans import span_faults
 from .values import cells, split_counts
 
@@ -79,11 +81,16 @@ def evidence(records: DataFrame, config: Config) -> DataFrame:
     return known.withColumn("evidence_faults", F.when(F.col("plugin") == "cue_shape_conflict", contrast_faults(config)).when(F.col("plugin").isNotNull(), cue_faults(config)))
 
 
+def _named(dimension: str, values: Column) -> Column:
+    return F.transform(values, lambda v: F.struct(F.lit(dimension).alias("dimension"), v.alias("v")))
+
+
 def violations(records: DataFrame, config: Config) -> DataFrame:
     """(code, split, case_id, message) of all rules on records, splits and the corpus.
 
     A record of an unknown family breaks that rule and is left out of the
-    rules after it. Rules on single records are one projection of one scan.
+    rules after it. Rules on single records are one projection of one scan,
+    which also gives what the others need, as a stored table without texts.
     """
     spark = records.sparkSession
     rows = evidence(records, config)
@@ -99,24 +106,36 @@ def violations(records: DataFrame, config: Config) -> DataFrame:
         (known & (F.size("evidence_faults") > 0), "semantic_evidence"), (known & hidden("persona"), "persona_surface"), (known & hidden("organization"), "organization_surface"),
         (known & F.exists("annotations", lambda a: ~a["entity_type"].isin(labels)), "entity_label"), (known & (F.size(span_faults("text", "annotations")) > 0), "span"), (known & (F.size(unsafe(config)) > 0), "safety"),
     ]
-    found = rows.select("split", "case_id", F.explode(F.array_compact(F.array(*(F.when(F.coalesce(t, F.lit(False)), F.lit(c)) for t, c in tests)))).alias("code")).select("code", "split", "case_id", F.lit("").alias("message"))
+    codes = F.array_compact(F.array(*(F.when(F.coalesce(t, F.lit(False)), F.lit(c)) for t, c in tests)))
+    shown = lambda c: F.when(contains_folded("text", F.col(c)), F.col(c))
+    # Texts are looked at once; all further rules read this table.
+    light = stored(
+        rows.select(
+            "split", "case_id", "namespace", "family", "template_id", "kind", "persona", "organization", known.alias("known"), codes.alias("codes"), F.md5(fingerprint("text").cast("binary")).alias("body"),
+            F.md5(record_skeleton(rows).cast("binary")).alias("skeleton"), F.col("annotations.text").alias("values"), shown("persona").alias("persona_shown"),
+        ),
+        "rule-facts",
+    )
+    found = light.select("split", "case_id", F.explode("codes").alias("code")).select("code", "split", "case_id", F.lit("").alias("message"))
 
     def of(df: DataFrame, code: str, split="split", case="null", message="''") -> DataFrame:
         return df.select(F.lit(code).alias("code"), F.expr(split).cast("string").alias("split"), F.expr(case).cast("string").alias("case_id"), F.expr(message).cast("string").alias("message"))
 
-    good = rows.filter(known)
+    good = light.filter("known")
     parts = [found]
     for column, code in (("case_id", "duplicate_case_id"), ("namespace", "duplicate_namespace")):
-        parts.append(of(records.groupBy(column).count().filter("count > 1"), code, "null", column if column == "case_id" else "null", column))
-    bodies = good.groupBy(F.md5(fingerprint("text").cast("binary")).alias("f")).agg(F.count("*").alias("n"), F.min("case_id").alias("case_id")).filter("n > 1")
+        parts.append(of(light.groupBy(column).count().filter("count > 1"), code, "null", column if column == "case_id" else "null", column))
+    bodies = good.groupBy("body").agg(F.count("*").alias("n"), F.min("case_id").alias("case_id")).filter("n > 1")
     parts.append(of(bodies, "duplicate_body", "null", "case_id", "n"))
-    repeats = good.select("split", F.explode("annotations.text").alias("v")).groupBy("split", "v").count().filter("count > 1").groupBy("split").agg(F.count("*").alias("n"))
+    repeats = good.select("split", F.explode("values").alias("v")).groupBy("split", "v").count().filter("count > 1").groupBy("split").agg(F.count("*").alias("n"))
     parts.append(of(repeats, "within_split_value_uniqueness", message="n"))
-    meet = dimensions(good) | {"organization": good.select("split", F.col("organization").alias("v")), "namespace": good.select("split", F.col("namespace").alias("v"))}
-    for name, v in meet.items():
-        parts.append(of(shared_by_splits(v, name), f"cross_split_{name}s", "concat(split_a, '/', split_b)", message="n"))
+    # The dimensions share one shuffle, on the dimension and the value.
+    dims = {"value": F.col("values"), "persona": F.array("persona_shown"), "organization": F.array("organization"), "template": F.array("template_id"), "skeleton": F.array("skeleton"), "namespace": F.array("namespace")}
+    named = [_named(k, c) for k, c in dims.items()]
+    met = shared_dimensions(good.select("split", F.explode(F.flatten(F.array(*named))).alias("x")).select("split", "x.dimension", "x.v"))
+    parts.append(met.select(F.concat(F.lit("cross_split_"), "dimension", F.lit("s")).alias("code"), F.concat_ws("/", "split_a", "split_b").alias("split"), F.lit(None).cast("string").alias("case_id"), F.col("n").cast("string").alias("message")))
     splits = spark.createDataFrame([(s, n, int(n * config.positive_ratio)) for s, n in config.splits.items()], "split string, size int, wanted int")
-    sizes = F.broadcast(splits).join(split_counts(records), "split", "left").fillna(0)
+    sizes = F.broadcast(splits).join(split_counts(light), "split", "left").fillna(0)
     d = config.diversity
     parts.append(of(sizes.filter("records <> size"), "split_size", message="records"))
     parts.append(of(sizes.filter("positives <> wanted"), "positive_ratio", message="positives"))

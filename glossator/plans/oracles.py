@@ -113,11 +113,11 @@ ORACLES: dict[str, str] = {
         UNION ALL {_slice('family', 'family').replace('FROM m', 'FROM (SELECT * FROM m UNION ALL SELECT * FROM y)')} UNION ALL {_slice('kind', 'kind').replace('FROM m', 'FROM (SELECT * FROM m UNION ALL SELECT * FROM y)')}
         UNION ALL {_slice('split', 'split').replace('FROM m', 'FROM (SELECT * FROM m UNION ALL SELECT * FROM y)')}""",
     "q19_over_trigger": f"WITH {RECORDS}, {PREDICTIONS}, i AS (SELECT DISTINCT case_id FROM q) SELECT family, count(i.case_id) AS triggered, count(*) AS scored FROM r LEFT JOIN i ON i.case_id = r.case_id WHERE kind = 'unannotated' GROUP BY family",
-    "q20_conflict_outcomes": f"""WITH {RECORDS}, {PREDICTIONS}, g AS (SELECT case_id, spans[1] AS t FROM r WHERE len(spans) = 1),
-        o AS (SELECT g.case_id, bool_or(q.s = t.s AND q.e = t.e AND q.label = t.label) AS hit, bool_or(q.s = t.s AND q.e = t.e AND q.label = 'CODE') AS hint, count(q.case_id) AS n FROM g LEFT JOIN q ON q.case_id = g.case_id GROUP BY g.case_id)
+    "q20_conflict_outcomes": f"""WITH {RECORDS}, {PREDICTIONS}, g AS (SELECT case_id, spans[1] AS t, CASE doc_id % 3 WHEN 0 THEN 'CODE' WHEN 1 THEN 'PHONE' ELSE 'EMAIL' END AS told FROM r WHERE len(spans) = 1 AND doc_id % 4 <> 3),
+        o AS (SELECT g.case_id, bool_or(q.s = t.s AND q.e = t.e AND q.label = t.label) AS hit, bool_or(q.s = t.s AND q.e = t.e AND q.label = told) AS hint, count(q.case_id) AS n FROM g LEFT JOIN q ON q.case_id = g.case_id GROUP BY g.case_id)
         SELECT CASE WHEN hit THEN 'gold' WHEN hint THEN 'shape_hint' WHEN n > 0 THEN 'other_error' ELSE 'abstention' END AS outcome, count(*) AS n FROM o GROUP BY 1""",
     "q22_bio_decode": f"WITH {RECORDS} SELECT case_id, CAST(row_number() OVER (PARTITION BY case_id ORDER BY s) AS INTEGER) AS span_no, label, s AS start, e AS \"end\" FROM a",
-    "q23_markup_parse": f"WITH {RECORDS} SELECT case_id, label, s AS start, e AS \"end\", x AS text FROM a",
+    "q23_markup_parse": f"WITH {RECORDS} SELECT case_id, label, s AS start, e AS \"end\", x AS text FROM a WHERE NOT contains(text, '[[') AND NOT contains(text, ']]')",
     "q24_case_id": "SELECT doc_id, 'ext-' || substr(sha256(source || '|' || doc_id || '|' || text), 1, 20) AS case_id FROM documents",
     "q25_benchmark_containment": f"""WITH {_SHINGLES}, bw AS (SELECT item_id, list_filter(string_split({_FOLD}, ' '), lambda y: y <> '') AS ws FROM benchmark),
         bs AS (SELECT item_id, list_distinct(CASE WHEN len(ws) >= 4 THEN list_transform(range(1, len(ws) - 2), lambda i: array_to_string(ws[i:i+3], ' ')) WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END) AS sh FROM bw),
@@ -131,7 +131,19 @@ ORACLES: dict[str, str] = {
         k AS (SELECT unnest([CASE WHEN bounds THEN 'bounds' END, CASE WHEN overlap THEN 'overlap' END, CASE WHEN NOT bounds AND differs THEN 'text' END, CASE WHEN NOT bounds AND moved THEN 'bytes' END]) AS code FROM y JOIN o USING (case_id))
         SELECT code, count(*) AS n FROM k WHERE code IS NOT NULL GROUP BY code""",
 }
-ORACLES["q28_threshold_strictness"] = "SELECT * FROM (VALUES ('max_family_share', 0.5, 0.12), ('minimum_distinct_values_per_label', 5.0, 30.0), ('minimum_marker_support', 40.0, 20.0)) AS t(key, configured, reference)".replace("0.5,", "CAST(0.5 AS DOUBLE),").replace("0.12)", "CAST(0.12 AS DOUBLE))")
+ORACLES["q28_threshold_strictness"] = f"""WITH {RECORDS}, v AS (SELECT label, count(DISTINCT x) AS k FROM a GROUP BY label),
+    m AS (SELECT 'max_family_share' AS key, max(n) / CAST((SELECT count(*) FROM r) AS DOUBLE) AS configured, CAST(0.12 AS DOUBLE) AS reference, true AS high FROM (SELECT count(*) AS n FROM r GROUP BY family)
+      UNION ALL SELECT 'max_template_share', max(n) / CAST((SELECT count(*) FROM r) AS DOUBLE), CAST(0.05 AS DOUBLE), true FROM (SELECT count(*) AS n FROM r GROUP BY template_id)
+      UNION ALL SELECT 'minimum_distinct_values_per_label', CAST(min(k) AS DOUBLE), CAST(30 AS DOUBLE), false FROM v
+      UNION ALL SELECT 'minimum_marker_support', CAST(40 AS DOUBLE), CAST(20 AS DOUBLE), true)
+    SELECT key, configured, reference FROM m WHERE CASE WHEN high THEN configured > reference ELSE configured < reference END"""
+# Words and signs with their offsets and tags; a span's first token begins at its first character.
+ORACLES["q21_bio_tokens"] = f"""WITH {RECORDS}, k AS (SELECT case_id, spans, regexp_extract_all(text, '[\\pL\\pN_]+|[^\\pL\\pN_\\s]') AS m, string_split_regex(text, '[\\pL\\pN_]+|[^\\pL\\pN_\\s]') AS g FROM r),
+    u AS (SELECT case_id, spans, unnest(m) AS token, unnest(g[1:len(m)]) AS gap, unnest(range(len(m))) AS pos FROM k),
+    o AS (SELECT case_id, spans, pos, token, CAST(sum(len(gap) + len(token)) OVER (PARTITION BY case_id ORDER BY pos) AS BIGINT) AS e FROM u),
+    p AS (SELECT case_id, pos, token, e - len(token) AS s, e, list_filter(spans, lambda h: h.s < e AND h.e > e - len(token)) AS met FROM o)
+    SELECT case_id, CAST(pos AS INTEGER) AS pos, CAST(s AS INTEGER) AS start, CAST(e AS INTEGER) AS "end", token,
+      CASE WHEN len(met) = 0 THEN 'O' WHEN len(met) = 1 AND met[1].s <= s AND e <= met[1].e THEN CASE WHEN s = met[1].s THEN 'B-' ELSE 'I-' END || met[1].label END AS tag FROM p"""
 ORACLES["q18_score_overlap"] = ORACLES["q17_score_strict"].replace(
     "k AS (SELECT case_id, family, kind, split, label, s, e, count(*) AS g",
     """ov AS (SELECT a.case_id, a.s, a.e, q.s AS ps, q.e AS pe, a.label FROM a JOIN q ON q.case_id = a.case_id AND q.label = a.label AND greatest(least(a.e, q.e) - greatest(a.s, q.s), 0) * 2 >= greatest(a.e, q.e) - least(a.s, q.s)),

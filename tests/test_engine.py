@@ -12,7 +12,8 @@ from glossator.sources import exports, external
 
 @pytest.fixture(scope="module")
 def config():
-    return generate.demo(splits={"train": 120, "eval": 90, "holdout": 75})
+    floors = ("minimum_templates_per_family", "minimum_personas_per_family", "minimum_organizations_per_split")
+    return generate.demo(splits={"train": 120, "eval": 90, "holdout": 75}, diversity=dict.fromkeys(floors, 1))
 
 
 @pytest.fixture(scope="module")
@@ -23,8 +24,7 @@ def corpus(spark, config, tmp_path_factory):
 
 
 def test_a_generated_corpus_meets_all_rules(corpus, config):
-    small = config.__class__(**{**vars(config), "diversity": dict.fromkeys(config.diversity, 1)})
-    assert validation.violations(corpus, small).filter("code <> 'case_id'").collect() == []
+    assert validation.violations(corpus, config).collect() == []
     assert corpus.count() == 285 and corpus.select("text").distinct().count() == 285
 
 
