@@ -21,7 +21,7 @@ from .values import cells, split_counts
 if TYPE_CHECKING:
     from glossator.plans.config import Config
 
-GENERATOR_VERSION = "1"
+GENERATOR_VERSION = "2"
 
 
 def unsafe(config: Config) -> Column:

@@ -110,13 +110,24 @@ register_value("reserved_email", lambda split, g, w: F.concat(_by_split(split, l
 register_value("card_shaped_invalid", _card, numbers=10**13)
 register_value("documentation_ip", _address, numbers=1 << 48)
 
-for _name, _role, _what in (
-    ("narrative", "positive", "the {cue} is {value}"), ("structural", "positive", "{cue}: {value}"), ("ocr_noise", "positive", "scanned {cue} {value}"), ("spoken", "positive", "read aloud, the {cue} was {value}"),
-    ("mixed_entity", "positive", "the {cue} {value} sits beside the {other_cue} {other_value}"), ("cue_free", "positive", "please keep {value} on hand"), ("cue_shape_conflict", "positive", "despite its looks the {cue} is {value}"),
-    ("near_miss", "hard_negative", "the {cue} was withdrawn, only stock tag {negative_value} is left"), ("placeholder", "hard_negative", "leave the {cue} blank until {negative_value} is closed"), ("negation", "hard_negative", "{negative_value} is not a {cue}"),
-    ("unrelated_shape", "hard_negative", "shelf {negative_value} was counted"), ("documentation_meta", "hard_negative", "section {negative_value} explains what a {cue} is"), ("adjacent_value", "hard_negative", "parcel {negative_value} arrived, the {cue} did not"),
-):
-    register_family(_name, _role, tuple(f"{a} {_what}{b}." for a, b in (("today", ", as agreed"), ("for now", " for the file"), ("as before", " and nothing else"), ("by request", ", says the clerk"), ("once more", " in this matter"))))
+#: By family: its role and a phrase for each split, so that splits share no wording.
+_PHRASES = {
+    "narrative": ("positive", "the {cue} is {value}", "we hold {value} as the {cue}", "{value} stands for the {cue}"),
+    "structural": ("positive", "{cue}: {value}", "{cue} = {value}", "{cue} / {value}"),
+    "ocr_noise": ("positive", "scanned {cue} {value}", "blurred copy, {cue} {value}", "{cue} as photographed: {value}"),
+    "spoken": ("positive", "read aloud, the {cue} was {value}", "over the phone the {cue} came as {value}", "dictated {cue}, {value}"),
+    "mixed_entity": ("positive", "the {cue} {value} sits beside the {other_cue} {other_value}", "{cue} {value} and {other_cue} {other_value} belong together", "both {value} as {cue} and {other_value} as {other_cue} are kept"),
+    "cue_free": ("positive", "please keep {value} on hand", "{value} goes with this page", "do not lose {value}"),
+    "cue_shape_conflict": ("positive", "despite its looks the {cue} is {value}", "{value} may seem odd, yet it is the {cue}", "the {cue} reads {value}, whatever its form"),
+    "near_miss": ("hard_negative", "the {cue} was withdrawn, only {negative_value} is left", "{negative_value} resembles a {cue} and is none", "we took {negative_value} for a {cue} by mistake"),
+    "placeholder": ("hard_negative", "leave the {cue} blank until {negative_value} is closed", "{negative_value} waits for a {cue}", "no {cue} yet, see {negative_value}"),
+    "negation": ("hard_negative", "{negative_value} is not a {cue}", "nobody has a {cue} under {negative_value}", "there was never a {cue}, {negative_value} says so"),
+    "unrelated_shape": ("hard_negative", "shelf {negative_value} was counted", "crate {negative_value} left the yard", "{negative_value} is a spare part"),
+    "documentation_meta": ("hard_negative", "section {negative_value} explains what a {cue} is", "{negative_value} shows how a {cue} is written", "chapter {negative_value} lists forms of the {cue}"),
+    "adjacent_value": ("hard_negative", "parcel {negative_value} arrived, the {cue} did not", "{negative_value} sits next to the empty {cue} field", "the {cue} line is bare, {negative_value} is below it"),
+}
+for _name, (_role, *_whats) in _PHRASES.items():
+    register_family(_name, _role, tuple(f"{a} {w}{b}." for w in _whats for a, b in (("today", ", as agreed"), ("for now", " for the file"), ("as before", " and nothing else"), ("by request", ", says the clerk"), ("once more", " in this matter"))))
 
 _TRACES = (" Subject {persona}, office {organization}, sheet {ref}.", " Trace {ref} for {persona} at {organization}.", " Kept under {ref} by {organization} for {persona}.", " {organization} lists {persona} with mark {ref}.", " Test only: {persona} / {organization} / {ref}.", " Sheet {ref} names {persona} and {organization}.")
 _DIGITS = {"0": "zero", "1": "one", "2": "two", "3": "three", "4": "four", "5": "five", "6": "six", "7": "seven", "8": "eight", "9": "nine", "-": "dash"}
@@ -201,7 +212,7 @@ def _family(rows: DataFrame, config: Config, f: Family, split: Column, i: Column
     elif f.plugin == "adjacent_value":
         negative = raw
     else:
-        negative = F.concat(F.lit("SYN-ASSET-" if f.plugin == "unrelated_shape" else "SYN-REF-"), F.lpad(g.cast("string"), 6, "0"))
+        negative = F.concat(F.lit("SYN-ASSET-" if f.plugin in ("unrelated_shape", "documentation_meta") else "SYN-REF-"), F.lpad(g.cast("string"), 6, "0"))
     persona = _by_split(split, lambda s: _pick(part(config.personas, s), i))
     organization = _by_split(split, lambda s: _pick(part(config.organizations, s), cycle if f.role == "positive" else i))
     bank = templates(f)
@@ -209,8 +220,10 @@ def _family(rows: DataFrame, config: Config, f: Family, split: Column, i: Column
     own = {s: bank[n * third : (n + 1) * third if n < 2 else len(bank)] for n, s in enumerate(SPLITS)}
     if not all(own.values()):
         raise ValueError(f"family {f.name} has too few templates for the splits")
-    number = _by_split(split, lambda s: (i % len(own[s])).cast("int"))
-    text = F.concat(_by_split(split, lambda s: _pick(own[s], i)), _pick(_TRACES, i))
+    # Labels and names go round with the record's number; templates must not go round with them.
+    drawn = lambda what, n: F.pmod(F.xxhash64(F.lit(config.digest), split, F.lit(f.name), i, F.lit(what)), F.lit(n)).cast("int")
+    number = _by_split(split, lambda s: drawn("template", len(own[s])))
+    text = F.concat(_by_split(split, lambda s: _pick(own[s], drawn("template", len(own[s])))), _pick(_TRACES, drawn("trace", len(_TRACES))))
     ref = F.concat(F.lit("SYN-DOC-"), F.upper(F.substring(F.sha2(F.concat_ws("|", F.lit(config.digest), split, F.lit(f.name), i), 256), 1, 12)))
     for name, v in {"cue": cue, "other_cue": other_cue, "value": F.concat(F.lit("[["), label, F.lit(":"), value, F.lit("]]")), "other_value": F.concat(F.lit("[["), other, F.lit(":"), other_value, F.lit("]]")), "negative_value": negative, "persona": persona, "organization": organization, "ref": ref}.items():
         text = F.replace(text, F.lit("{" + name + "}"), v)
