@@ -81,7 +81,7 @@ def scope(spark: SparkSession) -> Iterator[None]:
     try:
         yield
     finally:
-        _scopes().remove(held)
+        _scopes().pop()
         for path in held:
             _delete(spark, path)
 
