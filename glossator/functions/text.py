@@ -121,15 +121,20 @@ def ngrams(tokens: Column, width: int) -> Column:
 
 
 def shingles(text: str | Column, width: int = 4) -> Column:
-    """Hashes of the word n-grams; a shorter text has one for the whole, an empty one none."""
+    """Hashes of the word n-grams; a shorter text has one for the whole, an empty one none.
+
+    Words are hashed once and n-grams from the hashes of their words, so no
+    n-gram is put together as a string.
+    """
 
     def hashes(words: Column) -> Column:
         n = F.size(words) - width + 1
-        long = F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.xxhash64(F.array_join(F.slice(words, i, width), " ")))
-        short = F.when(F.size(words) > 0, F.array(F.xxhash64(F.array_join(words, " ")))).otherwise(F.array().cast("array<bigint>"))
+        long = F.transform(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), lambda i: F.xxhash64(*(F.get(words, i + k) for k in range(width))))
+        short = F.when(F.size(words) > 0, F.array(F.xxhash64(words))).otherwise(F.array().cast("array<bigint>"))
         return F.array_distinct(F.when(n >= 1, long).otherwise(short))
 
-    return let(F.filter(F.split(fingerprint(text), " "), lambda w: w != ""), hashes)
+    words = F.filter(F.split(fingerprint(text), " "), lambda w: w != "")
+    return let(F.transform(words, lambda w: F.xxhash64(w)), hashes)
 
 
 def jaccard(a: Column, b: Column) -> Column:
