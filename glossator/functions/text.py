@@ -121,7 +121,7 @@ def ngrams(tokens: Column, width: int) -> Column:
 
 
 def shingles(text: str | Column, width: int = 4) -> Column:
-    """Hashes of the word n-grams; a shorter text has one for the whole, an empty one none.
+    """Hashes of the word n-grams; a shorter text has one for the whole, an empty or null one none.
 
     Words are hashed once and n-grams from the hashes of their words, so no
     n-gram is put together as a string.

@@ -72,3 +72,18 @@ def test_tags_of_cut_shared_and_missing_spans(spark):
 def test_an_identity_of_a_null_text_is_null(spark):
     row = spark.createDataFrame([("a", None), ("a", "t")], "s string, t string").select(identity.external_id(F.col("s"), F.lit(1), F.col("t")).alias("i")).collect()
     assert row[0].i is None and row[1].i.startswith("ext-")
+
+
+def test_shingles_differ_as_word_grams_do(spark):
+    texts = ["", "  ", "a", "A ", "a b", "b a", "a b c", "a b c d", "A  b\tc D", "a b c d e", "a b c d a b c d", "a a a a a a"]
+
+    def grams(text: str) -> set[tuple[str, ...]]:
+        words = text.casefold().split()
+        return {tuple(words[i : i + 4]) for i in range(max(len(words) - 3, 1))} if words else set()
+
+    got = {r.t: r.s for r in spark.createDataFrame([(t,) for t in texts], "t string").select("t", text.shingles("t").alias("s")).collect()}
+    for a in texts:
+        assert len(got[a]) == len(set(got[a])) == len(grams(a))
+        for b in texts:
+            assert len(set(got[a]) & set(got[b])) == len(grams(a) & grams(b)), (a, b)
+    assert spark.sql("SELECT CAST(NULL AS STRING) t").select(text.shingles("t").alias("s")).first().s == []
