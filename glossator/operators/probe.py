@@ -7,10 +7,15 @@ distributed; metrics are grouped counts.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from glossator.functions.text import char_ngrams
+from glossator.functions.arrays import gram_buckets, pieces
+from glossator.functions.text import casefold, col
 
 MINIMUM_TRAIN, MARGIN = 10, 0.05
 
@@ -26,12 +31,56 @@ def tasks(records: DataFrame) -> dict[str, DataFrame]:
     }
 
 
+def gram_counts(docs: DataFrame, id_col: str, text: str | Column, buckets: int = 1 << 18, widths: tuple[int, ...] = (3, 4, 5)) -> DataFrame:
+    """(id, bucket, cnt): how often each text has character n-grams of each bucket, in any case; CRC-32 makes the buckets.
+
+    A row's counts are made where the row is and not shuffled; only rows that
+    share an id, if there are any, meet to be added up.
+    """
+    kind = docs.schema[id_col].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo, _, raw, at in pieces(batch.column("t")):
+                row, bucket, count = gram_buckets(raw, at, buckets, widths)
+                yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(row + lo)), pa.array(bucket.astype(np.int32)), pa.array(count)], names=[id_col, "bucket", "cnt"])
+
+    def counted(rows: DataFrame) -> DataFrame:
+        return rows.select(F.col(id_col).alias("id"), casefold(text).alias("t")).mapInArrow(run, f"`{id_col}` {kind}, bucket int, cnt bigint")
+
+    again = docs.groupBy(F.col(id_col).alias("__id")).agg(F.count("*").alias("n")).filter("n > 1").select("__id")
+    if again.isEmpty():
+        return counted(docs)
+    same = F.col(id_col).eqNullSafe(F.col("__id"))
+    more = counted(docs.join(again, same, "left_semi")).groupBy(id_col, "bucket").agg(F.sum("cnt").alias("cnt"))
+    return counted(docs.join(again, same, "left_anti")).unionByName(more)
+
+
 def features(examples: DataFrame, text: str | Column = "text", dimension: int = 1 << 18) -> DataFrame:
-    """``examples`` with the column features, sparse vectors of unit length: counts of character n-grams, hashed once."""
-    from pyspark.ml.feature import HashingTF, Normalizer
+    """``examples`` with the column features, sparse vectors of unit length: counts of character n-grams, hashed once.
+
+    The vectors are those of ``pyspark.ml``'s HashingTF and Normalizer over the
+    n-grams, made from the bytes of many texts at once.
+    """
+    from pyspark.ml.linalg import VectorUDT
+    from pyspark.sql.types import StructField, StructType
+
+    names = examples.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo, hi, raw, at in pieces(batch.column("__t")):
+                row, bucket, count = gram_buckets(raw, at, dimension, kind="murmur3")
+                ends = pa.array(np.searchsorted(row, np.arange(hi - lo + 1)).astype(np.int32))
+                norm = np.sqrt(np.bincount(row, weights=count.astype(np.float64) ** 2, minlength=hi - lo))
+                vector = pa.StructArray.from_arrays(
+                    [pa.array(np.zeros(hi - lo, np.int8)), pa.array(np.full(hi - lo, dimension, np.int32)), pa.ListArray.from_arrays(ends, pa.array(bucket.astype(np.int32))), pa.ListArray.from_arrays(ends, pa.array(count / norm[row]))],
+                    names=["type", "size", "indices", "values"],
+                )
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(lo, hi - lo) for c in names), vector], names=[*names, "features"])
 
-    hashed = HashingTF(inputCol="__grams", outputCol="__tf", numFeatures=dimension).transform(examples.withColumn("__grams", char_ngrams(text)))
-    return Normalizer(inputCol="__tf", outputCol="features", p=2.0).transform(hashed).drop("__grams", "__tf")
+    made = StructType([*examples.schema.fields, StructField("features", VectorUDT())])
+    return examples.select(*names, F.coalesce(casefold(col(text)), F.lit("")).alias("__t")).mapInArrow(run, made)
 
 
 def metrics(predicted: DataFrame) -> DataFrame:
