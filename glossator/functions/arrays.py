@@ -6,6 +6,8 @@ follows neither the batch nor the table; one long text is a piece of its own.
 
 from __future__ import annotations
 
+import re
+import sys
 from collections.abc import Iterator
 
 import numpy as np
@@ -118,3 +120,37 @@ def gram_buckets(raw: np.ndarray, at: np.ndarray, buckets: int, widths: tuple[in
     count = np.diff(np.append(new, len(key)))
     key = key[new].astype(np.int64)
     return key // buckets, key % buckets, count
+
+
+_CLASSES: list[np.ndarray] = []
+
+
+def _classes() -> np.ndarray:
+    """For each code point 0 for white space, 1 for a letter of a word, 2 for a sign, as :data:`WORD_OR_SIGN` has them."""
+    if not _CLASSES:
+        # Surrogates, which no text has, are left out of the string and its places moved back.
+        every = "".join(map(chr, (*range(0xD800), *range(0xE000, sys.maxunicode + 1))))
+        of = np.full(len(every), 2, dtype=np.uint8)
+        for pattern, kind in ((r"\w+", 1), (r"\s+", 0)):
+            for m in re.finditer(pattern, every):
+                of[m.start() : m.end()] = kind
+        _CLASSES.append(np.concatenate([of[:0xD800], np.full(0x800, 2, np.uint8), of[0xD800:]]))
+    return _CLASSES[0]
+
+
+def tokens(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array]:
+    """(row, start, end, token) of the words and signs of each text; places are code points of the text."""
+    points = np.frombuffer(raw.tobytes().decode().encode("utf-32-le"), np.uint32)
+    begin, char_row = characters(raw, at)
+    kind = _classes()[points]
+    first = np.searchsorted(begin[:-1], at[:-1])
+    word = kind == 1
+    goes_on = np.append(False, word[1:] & word[:-1]) if len(word) else word
+    goes_on[first[first < len(word)]] = False
+    cut = np.flatnonzero(~goes_on)
+    kept = kind[cut] != 0
+    s, e = cut[kept], np.append(cut[1:], len(kind))[kept] if len(cut) else cut
+    data = raw[np.repeat(kind != 0, np.diff(begin))]
+    ends = np.append(0, np.cumsum(begin[e] - begin[s])).astype(np.int32)
+    row = char_row[s]
+    return row, (s - first[row]).astype(np.int32), (e - first[row]).astype(np.int32), pa.StringArray.from_buffers(len(s), pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(data)))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,7 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from glossator.functions.text import WORD_OR_SIGN, byte_offset, code_point, let
+from glossator.functions.arrays import pieces, tokens
+from glossator.functions.text import byte_offset, code_point, let
 from glossator.schema import ANNOTATIONS
 
 LABEL = "[A-Z][A-Z0-9_]{1,63}"
@@ -40,48 +40,74 @@ def from_bytes(text: Column, spans: Column) -> Column:
     return F.transform(spans, lambda s: F.struct(code_point(text, s["start"]).alias("start"), code_point(text, s["end"]).alias("end"), s["entity_type"].alias("entity_type")))
 
 
+def _tags(begin: np.ndarray, end: np.ndarray, own: list[dict]) -> list[str | None]:
+    """The tags of one text's tokens under its spans."""
+    tag: list[str | None] = ["O"] * len(begin)
+    met = np.zeros(len(begin), dtype=np.int64)
+    for a in own:
+        if a["start"] is None or a["end"] is None or a["start"] >= a["end"]:
+            continue
+        first, last = np.searchsorted(end, a["start"], side="right"), np.searchsorted(begin, a["end"], side="left")
+        met[first:last] += 1
+        head = a["start"] + len(a["text"] or "") - len((a["text"] or "").lstrip())
+        for k in range(first, last):
+            inside = a["start"] <= begin[k] and end[k] <= a["end"] and met[k] == 1 and a["label"] is not None
+            tag[k] = ("B-" if begin[k] == head else "I-") + a["label"] if inside else None
+    return tag
+
+
+def _cut(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, pa.Array, np.ndarray, list[tuple[int, slice, list[str | None]]]]]:
+    """(first row, row, start, end, token, first token of each row, (row, place of its tokens, tags) of the rows with spans) of pieces of a batch."""
+    spans = batch.column("spans")
+    many = np.asarray(spans.value_lengths().fill_null(0))
+    for lo, hi, raw, at in pieces(batch.column("t")):
+        row, begin, end, token = tokens(raw, at)
+        first = np.searchsorted(row, np.arange(hi - lo + 1))
+        held = []
+        for r in np.flatnonzero(many[lo:hi]):
+            place = slice(int(first[r]), int(first[r + 1]))
+            held.append((int(r), place, _tags(begin[place], end[place], spans[lo + int(r)].as_py())))
+        yield lo, row, begin, end, token, first, held
+
+
 def _tagger(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    pattern = re.compile(WORD_OR_SIGN)
     for batch in batches:
-        texts, spans = batch.column("t").to_pylist(), batch.column("spans").to_pylist()
-        lo = 0
-        while lo < len(texts):
-            # So many characters at a time; a longer text is one piece.
-            hi, chars = lo, 0
-            while hi < len(texts) and (hi == lo or chars < 1 << 21):
-                chars += len(texts[hi] or "")
-                hi += 1
-            sizes, places, tokens, tags = [], [], [], []
-            for text, own in zip(texts[lo:hi], spans[lo:hi]):
-                at = [m.span() for m in pattern.finditer(text)] if text else []
-                sizes.append(len(at))
-                places += at
-                tokens += pattern.findall(text) if text else []
-                tag = ["O"] * len(at)
-                if own and at:
-                    both = np.array(at)
-                    begin, end = both[:, 0], both[:, 1]
-                    met = np.zeros(len(at), dtype=np.int64)
-                    for a in own:
-                        if a["start"] is None or a["end"] is None or a["start"] >= a["end"]:
-                            continue
-                        first, last = np.searchsorted(end, a["start"], side="right"), np.searchsorted(begin, a["end"], side="left")
-                        met[first:last] += 1
-                        head = a["start"] + len(a["text"] or "") - len((a["text"] or "").lstrip())
-                        for k in range(first, last):
-                            inside = a["start"] <= begin[k] and end[k] <= a["end"] and met[k] == 1 and a["label"] is not None
-                            tag[k] = ("B-" if begin[k] == head else "I-") + a["label"] if inside else None
-                tags += tag
-            count = np.array(sizes, dtype=np.int64)
-            row = np.repeat(np.arange(lo, hi), count)
-            place = np.array(places, dtype=np.int32).reshape(-1, 2)
-            pos = (np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)).astype(np.int32)
-            rows = pa.array(row)
+        for lo, row, begin, end, token, first, held in _cut(batch):
+            names: dict[str | None, int] = {"O": 0}
+            code = np.zeros(len(row), dtype=np.int32)
+            for _, place, tags in held:
+                code[place] = [names.setdefault(t, len(names)) for t in tags]
+            pos = (np.arange(len(row)) - first[row]).astype(np.int32)
+            rows = pa.array(row + lo)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("id").take(rows), batch.column("split").take(rows), pa.array(pos), pa.array(place[:, 0]), pa.array(place[:, 1]), pa.array(tokens, pa.string()), pa.array(tags, pa.string())],
+                [batch.column("id").take(rows), batch.column("split").take(rows), pa.array(pos), pa.array(begin), pa.array(end), token, pa.array([*names], pa.string()).take(pa.array(code))],
                 names=["id", "split", "pos", "start", "end", "token", "tag"],
             )
-            lo = hi
+
+
+def _untagger(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for lo, _, begin, end, _, _, held in _cut(batch):
+            found: list[tuple[int, int, str, int, int]] = []
+            for r, place, tags in held:
+                spans: list[list] = []
+                before = None
+                for tag, s, e in zip(tags, begin[place].tolist(), end[place].tolist()):
+                    label = None if tag is None or tag == "O" else tag[2:]
+                    if label is not None and (before is None or before != label or tag[:1] == "B"):
+                        spans.append([label, s, e])
+                    elif label is not None:
+                        spans[-1][2] = e
+                    before = label
+                found += [(lo + r, k, *x) for k, x in enumerate(spans, 1)]
+            at, no, label, start, last = zip(*found) if found else ((),) * 5
+            yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(at, pa.int64())), pa.array(no, pa.int32()), pa.array(label, pa.string()), pa.array(start, pa.int32()), pa.array(last, pa.int32())], names=["id", "span_no", "label", "start", "end"])
+
+
+def _with_spans(records: DataFrame, id_col: str) -> tuple[DataFrame, str]:
+    spans = F.transform("annotations", lambda a: F.struct(a["start"].alias("start"), a["end"].alias("end"), a["entity_type"].alias("label"), a["text"].alias("text")))
+    own = records.select(F.col(id_col).alias("id"), "split", F.col("text").alias("t"), spans.alias("spans"))
+    return own, own.schema["id"].dataType.simpleString()
 
 
 def tagged(records: DataFrame, id_col: str = "case_id") -> DataFrame:
@@ -92,11 +118,18 @@ def tagged(records: DataFrame, id_col: str = "case_id") -> DataFrame:
     laid over its tokens in one visit, in Arrow batches. A null text has no
     tokens, null annotations are none.
     """
-    spans = F.transform("annotations", lambda a: F.struct(a["start"].alias("start"), a["end"].alias("end"), a["entity_type"].alias("label"), a["text"].alias("text")))
-    own = records.select(F.col(id_col).alias("id"), "split", F.col("text").alias("t"), spans.alias("spans"))
-    kind = own.schema["id"].dataType.simpleString()
-    found = own.mapInArrow(_tagger, f"id {kind}, split string, pos int, start int, end int, token string, tag string")
-    return found.withColumnRenamed("id", id_col)
+    own, kind = _with_spans(records, id_col)
+    return own.mapInArrow(_tagger, f"id {kind}, split string, pos int, start int, end int, token string, tag string").withColumnRenamed("id", id_col)
+
+
+def retold(records: DataFrame, id_col: str = "case_id") -> DataFrame:
+    """(id, span_no, label, start, end): the spans that the tags of :func:`tagged` tell, null tags read as O.
+
+    The rules are those of :func:`decoded`. A record's tags are decoded where
+    they are made, so no token is shuffled; ids must be unique.
+    """
+    own, kind = _with_spans(records, id_col)
+    return own.mapInArrow(_untagger, f"id {kind}, span_no int, label string, start int, end int").withColumnRenamed("id", id_col)
 
 
 def decoded(tags: DataFrame, keys: list[str]) -> DataFrame:

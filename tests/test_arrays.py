@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
-from glossator.functions.text import char_grams, char_ngrams
-from glossator.operators import probe
+from glossator.functions.arrays import pieces, tokens
+from glossator.functions.text import WORD_OR_SIGN, char_grams
+from glossator.operators import probe, spans
 
 TEXTS = ["Hello wörld ß Straße", "", None, "日本語テキスト🙂🙂 abc", "ab", "aaaaaaaaaaaa", "ﬃ ligature é è ï", "x" * 50, "the cat sat on the mat. The cat"]
 
@@ -38,3 +42,36 @@ def test_gram_counts_of_rows_that_share_an_id(spark):
     df = spark.createDataFrame([(1, "abcd"), (1, "xabc"), (None, "abc"), (None, "abc"), (2, "abc")], "doc_id int, text string")
     want = df.select("doc_id", F.explode(char_grams("text")).alias("bucket")).groupBy("doc_id", "bucket").agg(F.count("*").alias("cnt"))
     assert Counter(map(tuple, probe.gram_counts(df, "doc_id", "text").collect())) == Counter(map(tuple, want.collect()))
+
+
+def test_tokens_against_the_pattern(monkeypatch):
+    monkeypatch.setattr("glossator.functions.arrays.PIECE_BYTES", 40)
+    texts = [*TEXTS, "a_1 b--c\u00a0d\u2003e\x1cf", "x\u0301y 12.5 \U0001d7d8 ...", "  ", "end"]
+    got = {k: [] for k in range(len(texts))}
+    for column in (pa.array(texts), pa.array(["skipped", *texts])[1:]):
+        got = {k: [] for k in range(len(texts))}
+        for lo, _, raw, at in pieces(column):
+            for r, s, e, t in zip(*tokens(raw, at)):
+                got[lo + int(r)].append((int(s), int(e), t.as_py()))
+        assert got == {k: [(*m.span(), m.group()) for m in re.finditer(WORD_OR_SIGN, t or "")] for k, t in enumerate(texts)}
+    assert [len(np.concatenate([x[0] for x in [tokens(raw, at)]])) for _, _, raw, at in pieces(pa.array([None, ""], pa.string()))] == [0]
+
+
+def test_spans_are_retold_where_the_tags_are_made(spark):
+    mark = lambda *x: [dict(zip(("entity_type", "start", "end", "text"), a)) for a in x]
+    rows = [
+        ("a", "train", "call AB-12 or CD-34 now", mark(("CODE", 5, 10, "AB-12"), ("CODE", 14, 19, "CD-34"))),
+        ("b", "train", "AB12 AB12x end", mark(("CODE", 0, 4, "AB12"), ("CODE", 5, 9, "AB12"), ("TAIL", 11, 14, "end"))),
+        ("c", "eval", "one two three", mark(("X", 0, 3, "one"), ("Y", 4, 13, "two three"))),
+        ("d", "eval", "one two", mark(("X", 0, 7, "one two"), ("Y", 4, 7, "two"))),
+        ("e", "eval", " é two", mark(("X", 0, 6, " é two"))),
+        ("f", "eval", None, mark(("X", 0, 3, "one"))), ("g", "eval", "plain", []), ("h", "eval", "plain", None), ("i", "eval", "xy", mark(("X", 1, 2, "y"), (None, 0, 1, "x"), ("Z", 2, None, ""))),
+    ]
+    rec = spark.createDataFrame(rows, "case_id string, split string, text string, annotations array<struct<entity_type: string, start: int, end: int, text: string>>")
+    found = spans.retold(rec)
+    assert "Exchange" not in _plan(found)
+    tags = spans.tagged(rec).withColumn("tag", F.coalesce("tag", F.lit("O")))
+    place = {(r.case_id, r.pos): (r.start, r.end) for r in tags.collect()}
+    want = {(r.case_id, r.span_no, r.label, place[r.case_id, r.first_pos][0], place[r.case_id, r.last_pos][1]) for r in spans.decoded(tags, ["case_id"]).collect()}
+    assert {tuple(r) for r in found.collect()} == want
+    assert len(want) == 8, sorted(want)
