@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from glossator.functions.arrays import pieces, tokens
-from glossator.functions.text import WORD_OR_SIGN, char_grams
+from glossator.functions.text import WORD_OR_SIGN, char_grams, char_ngrams
 from glossator.operators import probe, spans
 
 TEXTS = ["Hello wörld ß Straße", "", None, "日本語テキスト🙂🙂 abc", "ab", "aaaaaaaaaaaa", "ﬃ ligature é è ï", "x" * 50, "the cat sat on the mat. The cat"]
@@ -75,3 +75,30 @@ def test_spans_are_retold_where_the_tags_are_made(spark):
     want = {(r.case_id, r.span_no, r.label, place[r.case_id, r.first_pos][0], place[r.case_id, r.last_pos][1]) for r in spans.decoded(tags, ["case_id"]).collect()}
     assert {tuple(r) for r in found.collect()} == want
     assert len(want) == 8, sorted(want)
+
+
+def test_features_are_those_of_the_hashing_stages(spark, monkeypatch):
+    from pyspark.ml.feature import HashingTF, Normalizer
+
+    monkeypatch.setattr("glossator.functions.arrays.PIECE_BYTES", 40)
+    df = _table(spark).filter("text is not null")
+    found = probe.features(df, dimension=1 << 18)
+    assert "MapInArrow" in _plan(found) and "transform(" not in _plan(found.select("features"))[:20000].split("MapInArrow")[0]
+    hashed = HashingTF(inputCol="g", outputCol="tf", numFeatures=1 << 18).transform(df.withColumn("g", char_ngrams("text")))
+    want = Normalizer(inputCol="tf", outputCol="features", p=2.0).transform(hashed)
+    assert {r.doc_id: r.features for r in found.collect()} == {r.doc_id: r.features for r in want.collect()}
+
+
+def test_probe_makes_its_examples_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def visit(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    rows = [("train" if i % 3 else "eval", f"{'good' if i % 2 else 'bad'} words number {i}", "a" if i % 2 else "b") for i in range(48)]
+    examples = spark.createDataFrame(rows, "split string, text string, target string").mapInArrow(visit, "split string, text string, target string")
+    found, why = probe.probe(examples, iterations=3)
+    assert why is None and [r.split for r in found] == ["eval"]
+    assert seen.value == 48
