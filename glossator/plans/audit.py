@@ -92,7 +92,7 @@ def _duplicates(ctx):
 @check("intra_split_redundancy")
 def _redundancy(ctx):
     limit = ctx.limits["intra_split_similarity_threshold"]
-    rows = contamination.redundancy(ctx.records, similarity.near_pairs(ctx.records, "case_id", "text", limit, "split")).collect()
+    rows = contamination.redundancy(ctx.records, *similarity.near_classes(ctx.records, "case_id", "text", limit, "split")).collect()
     kinds = {r.split: r.n for r in ctx.records.groupBy("split").agg(F.count_distinct(F.md5(contamination.record_skeleton(ctx.records).cast("binary"))).alias("n")).collect()}
     worst = max((r.involved / r.total for r in rows), default=0.0)
     most = ctx.limits["max_intra_split_near_dup_fraction"]

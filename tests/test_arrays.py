@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from glossator.functions.arrays import pieces, tokens
 from glossator.functions.text import WORD_OR_SIGN, char_grams, char_ngrams
-from glossator.operators import probe, spans
+from glossator.operators import contamination, probe, similarity, spans
 
 TEXTS = ["Hello wörld ß Straße", "", None, "日本語テキスト🙂🙂 abc", "ab", "aaaaaaaaaaaa", "ﬃ ligature é è ï", "x" * 50, "the cat sat on the mat. The cat"]
 
@@ -102,3 +102,28 @@ def test_probe_makes_its_examples_once(spark):
     found, why = probe.probe(examples, iterations=3)
     assert why is None and [r.split for r in found] == ["eval"]
     assert seen.value == 48
+
+
+def test_copies_make_no_squares(spark):
+    words = " ".join(f"w{k}" for k in range(60))
+    rows = [(i, words) for i in range(40)] + [(100 + i, words + " more") for i in range(30)] + [(200, "quite another text is this one"), (201, None), (202, "")]
+    df = spark.createDataFrame(rows, "id long, t string")
+    classes, pairs = similarity.near_classes(df, "id", "t", 0.85)
+    assert [(r.l, r.r, r.both, r.total) for r in pairs.collect()] == [(0, 100, 57, 58)]
+    assert {(r.rep, r.copies) for r in classes.collect()} == {(0, 40), (100, 30), (200, 1)}
+    links = similarity.near_links(df, "id", "t", 0.85).collect()
+    assert len(links) == 1 + 39 + 29
+    assert {(r.l, r.r) for r in links} == {(0, 100)} | {(0, i) for i in range(1, 40)} | {(100, 100 + i) for i in range(1, 30)}
+    records = df.select("id", "t", F.lit("").alias("split"))
+    (got,) = contamination.redundancy(records, classes, pairs).collect()
+    assert tuple(got) == ("", 70, 70 * 69 // 2, 73)
+    assert similarity.near_pairs(df, "id", "t", 0.85).count() == 70 * 69 // 2
+
+
+def test_sets_that_share_a_hash_are_compared(spark, monkeypatch):
+    texts = ["a b c d e f g h i j k l m n o p q r s t u v", "a b c d e f g h i j k l m n o p q r s t u v w", "other words in here are all new", "yet another row of plain words"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, t string")
+    plain = similarity.stored
+    monkeypatch.setattr(similarity, "stored", lambda d, label: plain(d.withColumn("k", F.lit(7).cast("long")) if label == "shingle-sets" else d, label))
+    _, pairs = similarity.near_classes(df, "id", "t", 0.85)
+    assert [(r.l, r.r) for r in pairs.collect()] == [(0, 1)]
