@@ -127,3 +127,17 @@ def test_sets_that_share_a_hash_are_compared(spark, monkeypatch):
     monkeypatch.setattr(similarity, "stored", lambda d, label: plain(d.withColumn("k", F.lit(7).cast("long")) if label == "shingle-sets" else d, label))
     _, pairs = similarity.near_classes(df, "id", "t", 0.85)
     assert [(r.l, r.r) for r in pairs.collect()] == [(0, 1)]
+
+
+def test_containment_sends_no_shingle_to_python(spark):
+    words = [f"w{k}" for k in range(40)]
+    items = spark.createDataFrame([(1, " ".join(words[:20])), (2, " ".join(words[20:]))], "item_id long, text string")
+    docs = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(words[:14]))], "doc_id long, text string")
+    found = similarity.containment(items, "item_id", "text", docs, "doc_id", "text")
+    assert "InArrow" not in _plan(found)
+    assert {tuple(r) for r in found.select("item", "doc", "both", "total").collect()} == {(1, 1, 17, 17), (2, 1, 17, 17), (1, 2, 11, 17)}
+
+
+def test_tags_without_the_split(spark):
+    rec = spark.createDataFrame([("a", "train", "call AB-12", [("CODE", 5, 10, "AB-12")])], "case_id string, split string, text string, annotations array<struct<entity_type: string, start: int, end: int, text: string>>")
+    assert spans.tagged(rec, with_split=False).collect() == spans.tagged(rec).drop("split").collect()
