@@ -79,9 +79,10 @@ def _tagger(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 code[place] = [names.setdefault(t, len(names)) for t in tags]
             pos = (np.arange(len(row)) - first[row]).astype(np.int32)
             rows = pa.array(row + lo)
+            own = [c for c in ("id", "split") if c in batch.schema.names]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("id").take(rows), batch.column("split").take(rows), pa.array(pos), pa.array(begin), pa.array(end), token, pa.array([*names], pa.string()).take(pa.array(code))],
-                names=["id", "split", "pos", "start", "end", "token", "tag"],
+                [*(batch.column(c).take(rows) for c in own), pa.array(pos), pa.array(begin), pa.array(end), token, pa.array([*names], pa.string()).take(pa.array(code))],
+                names=[*own, "pos", "start", "end", "token", "tag"],
             )
 
 
@@ -110,8 +111,8 @@ def _with_spans(records: DataFrame, id_col: str) -> tuple[DataFrame, str]:
     return own, own.schema["id"].dataType.simpleString()
 
 
-def tagged(records: DataFrame, id_col: str = "case_id") -> DataFrame:
-    """(id, split, pos, start, end, token, tag): BIO tags of every token.
+def tagged(records: DataFrame, id_col: str = "case_id", with_split: bool = True) -> DataFrame:
+    """(id, split, pos, start, end, token, tag): BIO tags of every token; ``split`` only where it is asked for.
 
     The tag is null where an entity cuts through a token or a token meets
     several; exporters refuse such records. A text is cut and its spans are
@@ -119,7 +120,8 @@ def tagged(records: DataFrame, id_col: str = "case_id") -> DataFrame:
     tokens, null annotations are none.
     """
     own, kind = _with_spans(records, id_col)
-    return own.mapInArrow(_tagger, f"id {kind}, split string, pos int, start int, end int, token string, tag string").withColumnRenamed("id", id_col)
+    own, split = (own, "split string, ") if with_split else (own.drop("split"), "")
+    return own.mapInArrow(_tagger, f"id {kind}, {split}pos int, start int, end int, token string, tag string").withColumnRenamed("id", id_col)
 
 
 def retold(records: DataFrame, id_col: str = "case_id") -> DataFrame:
