@@ -154,3 +154,28 @@ def tokens(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
     ends = np.append(0, np.cumsum(begin[e] - begin[s])).astype(np.int32)
     row = char_row[s]
     return row, (s - first[row]).astype(np.int32), (e - first[row]).astype(np.int32), pa.StringArray.from_buffers(len(s), pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(data)))
+
+
+def _scattered(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def token_hashes(raw: np.ndarray, at: np.ndarray, base: int) -> np.ndarray:
+    """A 64-bit hash of each string of a column, by its bytes and the odd number ``base``."""
+    size = np.diff(at)
+    powers = np.cumprod(np.full(int(size.max(initial=0)) + 1, base, dtype=np.uint64))
+    raw, begin = raw[at[0] : at[-1]], at[:-1] - at[0]
+    parts = (raw.astype(np.uint64) + np.uint64(1)) * powers[np.arange(len(raw)) - np.repeat(begin, size)]
+    sums = np.add.reduceat(np.append(parts, np.uint64(0)), begin) if len(begin) else np.empty(0, np.uint64)
+    return _scattered(np.where(size > 0, sums, np.uint64(0)))
+
+
+def run_hashes(tokens: np.ndarray, width: int) -> np.ndarray:
+    """A hash of each run of ``width`` neighbours of hashed tokens."""
+    n = max(len(tokens) - width + 1, 0)
+    h = np.full(n, width, dtype=np.uint64)
+    for k in range(width):
+        h = _scattered(h * np.uint64(0x9E3779B97F4A7C15) + tokens[k : k + n])
+    return h

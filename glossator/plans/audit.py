@@ -239,7 +239,7 @@ def _pervasive(ctx):
     if total < 20:
         return [_unmeasured("pervasive_phrase_fingerprint", "fewer than 20 records")]
     most = ctx.limits["max_pervasive_ngram_coverage"]
-    rows = phrases.pervasive(ctx.records, contamination.record_skeleton(ctx.records)).orderBy(F.desc("df"), "gram").limit(REPORTED).collect()
+    rows = phrases.most_pervasive(ctx.records, contamination.record_skeleton(ctx.records), REPORTED).collect()
     # At the ceiling counts as over it, unlike in the other checks.
     over = [(r.gram, round(r.df / total, 4)) for r in rows if r.df / total >= most]
     return [_verdict("pervasive_phrase_fingerprint", bool(over), len(over), rows[0].df / total if rows else 0.0, most, ngrams=over)]

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from glossator.functions.arrays import pieces, tokens
 from glossator.functions.text import WORD_OR_SIGN, char_grams, char_ngrams
-from glossator.operators import contamination, probe, similarity, spans
+from glossator.operators import contamination, phrases, probe, similarity, spans
 
 TEXTS = ["Hello wörld ß Straße", "", None, "日本語テキスト🙂🙂 abc", "ab", "aaaaaaaaaaaa", "ﬃ ligature é è ï", "x" * 50, "the cat sat on the mat. The cat"]
 
@@ -141,3 +141,48 @@ def test_containment_sends_no_shingle_to_python(spark):
 def test_tags_without_the_split(spark):
     rec = spark.createDataFrame([("a", "train", "call AB-12", [("CODE", 5, 10, "AB-12")])], "case_id string, split string, text string, annotations array<struct<entity_type: string, start: int, end: int, text: string>>")
     assert spans.tagged(rec, with_split=False).collect() == spans.tagged(rec).drop("split").collect()
+
+
+def _marked(spark):
+    texts = ["the cat sat on the mat", "the cat sat on a <b c> mat the cat", "a dog <x>", "", None, "the cat sat on the mat again", "zz yy xx ww vv", "the cat sat on no mat", "on the mat the cat sat on"] * 2
+    rows = [(t, None if k == 11 else k % 3) for k, t in enumerate(texts)]
+    return spark.createDataFrame(rows, "t string, c int").repartition(3)
+
+
+def test_markers_are_counted_by_hash(spark, monkeypatch):
+    df, tokens = _marked(spark), phrases.marker_tokens(F.col("t"))
+    want = phrases.gram_counts(df, tokens, "c")
+    want = want.groupBy("feature", "width").agg(F.sum("n").alias("support"), F.min(F.struct((-F.col("n")).alias("n"), "class")).alias("b")).filter("support >= 3 and b.class is not null")
+    want = {(r.feature, r.width, r.b["class"], -r.b.n, r.support) for r in want.collect()}
+    plain = phrases.gram_counts
+    monkeypatch.setattr(phrases, "gram_counts", None)
+    monkeypatch.setattr(phrases, "RUN_TOKENS", 10)
+    assert {tuple(r)[:5] for r in phrases.class_markers(df, tokens, "c", 3).collect()} == want
+    assert len(want) > 10
+    monkeypatch.setattr(phrases, "gram_counts", plain)
+    monkeypatch.setattr(phrases, "HELD_GRAMS", 2)
+    assert {tuple(r)[:5] for r in phrases.class_markers(df, tokens, "c", 3).collect()} == want
+
+
+def test_most_pervasive_by_hash(spark, monkeypatch):
+    df = _marked(spark)
+    for limit in (1, 3, 200):
+        want = phrases.pervasive(df, F.col("t")).orderBy(F.desc("df"), "gram").limit(limit).collect()
+        assert phrases.most_pervasive(df, F.col("t"), limit).collect() == want
+
+
+def test_ngrams_that_share_a_hash_are_told_apart(spark, monkeypatch):
+    df, tokens = _marked(spark), phrases.marker_tokens(F.col("t"))
+    hashes = np.array([r.h for r in phrases.hash_counts(df, tokens, F.lit(""), (1, 2), True).collect()])
+    assert phrases.hash_names(df, tokens, hashes, (1, 2), True) is not None
+    want = {tuple(r) for r in phrases.class_markers(df, tokens, "c", 3).collect()}
+    real = phrases._grams
+
+    def coarse(flat, first, widths, plain, base):
+        for w, place, h in real(flat, first, widths, plain, base):
+            yield w, place, h % 3 if base == phrases.BASES[0] else h
+
+    monkeypatch.setattr(phrases, "_grams", coarse)
+    few = np.array([0, 1, 2])
+    assert phrases.hash_names(df, tokens, few, (1, 2), True) is None
+    assert {tuple(r) for r in phrases.class_markers(df, tokens, "c", 3).collect()} == want
