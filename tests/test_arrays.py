@@ -186,3 +186,24 @@ def test_ngrams_that_share_a_hash_are_told_apart(spark, monkeypatch):
     few = np.array([0, 1, 2])
     assert phrases.hash_names(df, tokens, few, (1, 2), True) is None
     assert {tuple(r) for r in phrases.class_markers(df, tokens, "c", 3).collect()} == want
+
+
+def test_candidates_are_compared_in_cells(spark, monkeypatch):
+    import random
+
+    draw = random.Random(5)
+    texts = []
+    for c in range(6):
+        base = [f"c{c}w{k}" for k in range(60)]
+        for _ in range(12):
+            own = list(base)
+            for _ in range(draw.randint(0, 2)):
+                own[draw.randint(0, 59)] = f"x{draw.randint(0, 9)}"
+            texts.append(" ".join(own))
+    df = spark.createDataFrame([(f"d{i:03}", t, "ab"[i % 2]) for i, t in enumerate(texts)], "id string, t string, s string").repartition(3)
+    sets = [{" ".join(t.split()[i : i + 4]) for i in range(len(t.split()) - 3)} for t in texts]
+    want = {("ab"[i % 2], f"d{i:03}", f"d{j:03}", len(sets[i] & sets[j]), len(sets[i] | sets[j])) for i in range(len(texts)) for j in range(i + 2, len(texts), 2) if len(sets[i] & sets[j]) >= 0.85 * len(sets[i] | sets[j])}
+    assert len(want) > 50
+    for size in (2048, 2):
+        monkeypatch.setattr(similarity, "CELL_SETS", size)
+        assert {tuple(r) for r in similarity.near_pairs(df, "id", "t", 0.85, "s").collect()} == want
